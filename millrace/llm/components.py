@@ -12,15 +12,14 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def _forest(batches):
-    """Union-find over the edges of one task; gives each node and the smallest node that it reaches here."""
-    import numpy as np
-    import pyarrow as pa
+class Forest:
+    """Union-find over the links that one task sees: what it gives on is no more than its nodes."""
 
-    parent: dict[int, int] = {}
+    def __init__(self):
+        self.parent: dict[int, int] = {}
 
-    def find(x):
-        root = x
+    def find(self, x: int) -> int:
+        parent, root = self.parent, x
         while (up := parent.get(root, root)) != root:
             root = up
         while (up := parent.get(x, x)) != root:
@@ -28,17 +27,21 @@ def _forest(batches):
             x = up
         return root
 
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            parent.setdefault(a, a)
-            parent.setdefault(b, b)
-            a, b = find(a), find(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    nodes = [x for x in parent if find(x) != x]
-    if nodes:
-        roots = np.array([find(x) for x in nodes], dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, dtype=np.int64)), pa.array(roots)], names=["a", "b"])
+    def link(self, a: int, b: int) -> None:
+        self.parent.setdefault(a, a)
+        self.parent.setdefault(b, b)
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+
+    def batch(self):
+        """(node, its root) for the nodes that aren't roots."""
+        import numpy as np
+        import pyarrow as pa
+
+        nodes = [x for x in self.parent if self.find(x) != x]
+        pairs = [np.array(x, dtype=np.int64) for x in (nodes, [self.find(x) for x in nodes])]
+        return pa.RecordBatch.from_arrays(list(map(pa.array, pairs)), names=["a", "b"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -60,8 +63,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Null ends and self-loops are ignored; an empty list gives an empty result.
     Raises if ``max_rounds`` rounds don't suffice (they double the reach each).
     """
-    edges = edges.where("a is not null and b is not null and a <> b").select("a", "b").mapInArrow(_forest, "a long, b long")
-    edges = materialize(edges, "edges")
+    edges = materialize(edges.where("a is not null and b is not null and a <> b").select("a", "b"), "edges")
     for _ in range(max_rounds):
         new = materialize(_small_star(_large_star(edges)), "stars")
         # A set of edges (child, parent) is final once no parent is itself a child.

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, small_batches, utf8
-from .components import components
+from .components import Forest, components
 
 SHINGLE, SEED, RADIUS, TILE = 3, 42, 3, 4096
 
@@ -67,15 +67,17 @@ def _tiles(fps: DataFrame, tile: int) -> DataFrame:
     """Distinct fingerprints packed by the population counts of their words: (c0..c3, tile, data)."""
     words = [F.bit_count(F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))).cast("int").alias(f"c{i}") for i in range(4)]
 
-    def pack(key, frame):
+    def pack(key, table):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
-        own = np.sort(frame["fp"].to_numpy(dtype=np.int64))
+        own = np.sort(np.asarray(table.column("fp").combine_chunks()))
         cuts = range(0, len(own), tile)
-        return pd.DataFrame({f"c{i}": [int(key[i])] * len(cuts) for i in range(4)} | {"tile": list(range(len(cuts))), "data": [own[x : x + tile].tobytes() for x in cuts]})
+        counts = {f"c{i}": pa.array([key[i].as_py()] * len(cuts), pa.int32()) for i in range(4)}
+        return pa.table(counts | {"tile": pa.array(list(cuts), pa.int32()), "data": pa.array([own[x : x + tile].tobytes() for x in cuts], pa.binary())})
 
-    return fps.select("fp", *words).groupBy("c0", "c1", "c2", "c3").applyInPandas(pack, "c0 int, c1 int, c2 int, c3 int, tile int, data binary")
+    packed = fps.select("fp", *words).groupBy("c0", "c1", "c2", "c3").applyInArrow(pack, "c0 int, c1 int, c2 int, c3 int, tile int, data binary")
+    return materialize(packed, "tiles")
 
 
 def _near(radius: int) -> list[tuple[int, int, int, int]]:
@@ -116,14 +118,13 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
 
     def compare(batches):
         import numpy as np
-        import pyarrow as pa
 
+        forest = Forest()
         for batch in batches:
-            found = []
             for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found += tile_links(np.frombuffer(x, dtype=np.int64), np.frombuffer(y, dtype=np.int64), radius)
-            out = np.array(found, dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+                for a, b in tile_links(np.frombuffer(x, dtype=np.int64), np.frombuffer(y, dtype=np.int64), radius):
+                    forest.link(a, b)
+        yield forest.batch()
 
     return pairs.mapInArrow(compare, "a long, b long")
 
