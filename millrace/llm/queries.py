@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, nearest, simhash, suffix, urlfilter
+from . import decontaminate, mixing, nearest, quality, simhash, suffix, toxicity, urlfilter
 from .common import table
 
 
@@ -33,6 +33,16 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graded = toxicity.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return graded.select("doc_id", "held_out", "severity", (F.col("severity") >= 0.5).alias("toxic"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return urlfilter.filter_urls(urlfilter.dated_pages(pages), urlfilter.feed_from(pages)).drop("fetched_at")
@@ -44,6 +54,8 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_decontaminate": op5_decontaminate,
     "op6_mix": op6_mix,
+    "op8_toxicity": op8_toxicity,
+    "op9_quality": op9_quality,
     "op10_urlfilter": op10_urlfilter,
 }
 
