@@ -25,6 +25,7 @@ from .common import small_batches, utf8
 
 SLOTS, DIMS, NONZERO, WINDOW = 1 << 15, 32, 2, 2
 SHARDS = 16
+POOLED = 2 * DIMS + 3
 #: Labelled documents from which the network learns, at most.
 MAX_LABELLED = 20_000
 HIDDEN, EPOCHS = 32, 60
@@ -115,15 +116,20 @@ def pooled(s, vectors):
     import numpy as np
 
     if not len(s):
-        return np.zeros(2 * DIMS + 1, dtype=np.float32)
-    mean, square = np.zeros(DIMS), np.zeros(DIMS)
+        return np.zeros(POOLED, dtype=np.float32)
+    mean, square, move = np.zeros(DIMS), np.zeros(DIMS), 0.0
     for at in range(0, len(s), 8192):
-        x = vectors[s[at : at + 8192]]
+        x = vectors[s[max(0, at - 1) : at + 8192]]
+        step = x[1:] - x[:-1]
+        move += float((step * step).sum())
+        x = x[1:] if at else x
         mean += x.sum(axis=0)
         square += (x * x).sum(axis=0)
     mean /= len(s)
     spread = np.sqrt(np.maximum(square / len(s) - mean * mean, 0))
-    return np.concatenate((mean, spread, [np.log1p(len(s)) / 4])).astype(np.float32)
+    moves = max(1, len(s) - 1)
+    still = float((s[1:] == s[:-1]).sum()) / moves
+    return np.concatenate((mean, spread, [np.log1p(len(s)) / 4, np.sqrt(move / moves), still])).astype(np.float32)
 
 
 class Network:
@@ -207,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors, id_col: str = "doc_id", tex
 
     sample = docs.join(known, F.col(id_col) == F.col("__id")).select(utf8(text_col).alias("b"), "y").mapInArrow(pool, "y int, x binary")
     rows = sorted((r["y"], bytes(r["x"])) for r in sample.limit(2 * max_labelled).collect())
-    x = np.frombuffer(b"".join(r[1] for r in rows), dtype=np.float32).reshape(len(rows), 2 * DIMS + 1).astype(np.float64)
+    x = np.frombuffer(b"".join(r[1] for r in rows), dtype=np.float32).reshape(len(rows), POOLED).astype(np.float64)
     return Network(x, np.array([r[0] > 0 for r in rows], dtype=np.float64))
 
 
@@ -230,7 +236,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         vectors, network = held.value
         for batch in batches:
             x = [pooled(slots((t or "").encode(), find), vectors) for t in batch.column(at).to_pylist()]
-            scores = network.score(np.array(x, dtype=np.float64).reshape(len(x), 2 * DIMS + 1))
+            scores = network.score(np.array(x, dtype=np.float64).reshape(len(x), POOLED))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(scores)], names=[*[batch.schema.names[i] for i in keep], "score"])
 
     return docs.mapInArrow(run, schema)

@@ -47,7 +47,7 @@ def features(text: str | None):
 class OrdinalModel:
     """P(grade > k) = logistic(score - threshold[k]), thresholds rising."""
 
-    def __init__(self, rows, grades, rounds: int = 300, shrink: float = 1e-3):
+    def __init__(self, rows, grades, rounds: int = 600, shrink: float = 1e-4):
         """``rows``: arrays of distinct features; ``grades``: any ordered numbers."""
         import numpy as np
 
