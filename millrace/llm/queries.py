@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, nearest, quality, simhash, suffix, toxicity, urlfilter
+from . import decontaminate, mixing, nearest, pitman_yor, quality, simhash, suffix, toxicity, urlfilter
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
+def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     graded = toxicity.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return graded.select("doc_id", "held_out", "severity", (F.col("severity") >= 0.5).alias("toxic"))
@@ -54,6 +58,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_decontaminate": op5_decontaminate,
     "op6_mix": op6_mix,
+    "op7_pitman_yor": op7_pitman_yor,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_urlfilter": op10_urlfilter,
