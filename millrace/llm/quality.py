@@ -217,14 +217,14 @@ def fit(docs: DataFrame, labels: DataFrame, vectors, id_col: str = "doc_id", tex
     return Network(x, np.array([r[0] > 0 for r in rows], dtype=np.float64))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) added."""
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED, score_col: str = "score") -> DataFrame:
+    """``docs`` with their score (0 to 1) as ``score_col``, which replaces a column of that name."""
     vectors = word_vectors(context_sums(docs, text_col))
     network = fit(docs, labels, vectors, id_col, text_col, label_col, max_labelled)
     held = docs.sparkSession.sparkContext.broadcast((vectors, network))
     at = docs.columns.index(text_col)
-    schema = docs.drop("score").schema.add("score", "double", False)
-    keep = [i for i, c in enumerate(docs.columns) if c != "score"]
+    schema = docs.drop(score_col).schema.add(score_col, "double", False)
+    keep = [i for i, c in enumerate(docs.columns) if c != score_col]
 
     def run(batches):
         import re
@@ -237,6 +237,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         for batch in batches:
             x = [pooled(slots((t or "").encode(), find), vectors) for t in batch.column(at).to_pylist()]
             scores = network.score(np.array(x, dtype=np.float64).reshape(len(x), POOLED))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(scores)], names=[*[batch.schema.names[i] for i in keep], "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(scores)], names=[*[batch.schema.names[i] for i in keep], score_col])
 
     return docs.mapInArrow(run, schema)

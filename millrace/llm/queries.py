@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, nearest, pitman_yor, quality, simhash, suffix, toxicity, urlfilter
+from . import decontaminate, mixing, nearest, pitman_yor, quality, simhash, suffix, toxicity, urlfilter, warc
 from .common import table
 
 
@@ -14,6 +14,12 @@ def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    dated = pages.withColumn("fetched_at", urlfilter.fetch_time())
+    return warc.derive(warc.responses(dated, date_col="fetched_at"))
+
+
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -54,6 +60,7 @@ def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix": op1_suffix,
+    "op2_warc": op2_warc,
     "op3_nearest": op3_nearest,
     "op4_simhash": op4_simhash,
     "op5_decontaminate": op5_decontaminate,

@@ -303,16 +303,17 @@ def _splitters(rows: DataFrame, length: int, parts: int) -> list[bytes]:
 
 
 def _texts(table):
-    """Ids and texts of a block in an order that doesn't depend on the shuffle."""
-    rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("b").to_pylist(), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    return [r[0] for r in rows], [r[1] for r in rows]
+    """The rows' places and their texts in an order that doesn't depend on the shuffle."""
+    rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("b").to_pylist(), range(len(table)), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    return [r[2] for r in rows], [r[1] for r in rows]
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """(doc_id, b: the text's bytes, spans: array<struct<start, end>> of the bytes that repeat), one row for each row of ``docs``."""
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry=()) -> DataFrame:
+    """(doc_id, b: the text's bytes, spans: array<struct<start, end>> of the bytes that repeat, rest: the columns in ``carry``), one row for each row of ``docs``."""
     spark = docs.sparkSession
     parts = block_count(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("b"))
+    rest = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("int")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("b"), rest.alias("rest"))
     splitters = _splitters(rows, length, parts)
     dealt = rows.withColumn("m", F.pmod(F.xxhash64("doc_id", F.length("b"), F.substring("b", 1, 64)), F.lit(parts)).cast("int")).repartition(parts, "m")
 
@@ -404,7 +405,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         import numpy as np
         import pyarrow as pa
 
-        ids, texts = _texts(table)
+        places, texts = _texts(table)
+        table = table.take(pa.array(places, pa.int64()))
         block = Block(texts, length)
         runs, contexts, _, own, bucket = left(block, replies)
         hit = unpack(replies, 2)
@@ -427,23 +429,38 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
             edge = np.flatnonzero(np.diff(np.concatenate(([0], gone[a:b].astype(np.int8), [0]))))
             out.append([{"start": x, "end": y} for x, y in edge.reshape(-1, 2).tolist()])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "b": pa.array(texts, pa.binary()), "spans": pa.array(out, kind)})
+        return pa.table({"doc_id": table.column("doc_id"), "b": table.column("b"), "spans": pa.array(out, kind), "rest": table.column("rest")})
 
     reply = "m int, bucket int, size long, bits binary"
     sent = dealt.groupBy("m").applyInArrow(gram_hashes, "bucket int, m int, tokens binary, multi binary")
     first = sent.groupBy("bucket").applyInArrow(shared_hashes, reply).withColumn("step", F.lit(1)).repartition(parts, "m")
     sent = dealt.groupBy("m").cogroup(first.groupBy("m")).applyInArrow(suffixes, "bucket int, m int, contexts binary, sizes binary, anchors binary, multi binary")
     second = sent.groupBy("bucket").applyInArrow(sort_bucket, reply).withColumn("step", F.lit(2))
-    return dealt.groupBy("m").cogroup(first.unionByName(second).groupBy("m")).applyInArrow(spans, "doc_id long, b binary, spans array<struct<start: long, end: long>>")
+    return dealt.groupBy("m").cogroup(first.unionByName(second).groupBy("m")).applyInArrow(spans, f"doc_id long, b binary, spans array<struct<start: long, end: long>>, rest {dict(rows.dtypes)['rest']}")
 
 
-def keep_rest(data: bytes, spans) -> bytes:
-    """``data`` without the bytes in ``spans``."""
-    out, at = [], 0
-    for s in spans:
-        out.append(data[at : s["start"]])
-        at = s["end"]
-    return b"".join([*out, data[at:]])
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """``docs`` without the bytes that repeat; what a cut leaves of a character goes with it, and a null text stays null."""
+    found = repeats(docs, id_col, text_col, length, docs.columns)
+    names = list(docs.columns)
+    at = names.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = []
+            for data, spans, old in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).field(at).to_pylist(), strict=True):
+                out, last = [], 0
+                for s in spans:
+                    out.append(data[last : s["start"]])
+                    last = s["end"]
+                texts.append(old if not spans else b"".join([*out, data[last:]]).decode(errors="ignore"))
+            columns = batch.column(2).flatten()
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return found.select("b", "spans", "rest").mapInArrow(run, docs.schema)
 
 
 def kept(found: DataFrame) -> DataFrame:

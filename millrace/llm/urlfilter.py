@@ -71,10 +71,14 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", a
     return out.select(*kept, *[c for c in ["host"] if c not in kept], F.size("__active").cast("long").alias("n_active"), F.array_join(F.array_sort(F.array_distinct(F.transform("__active", lambda x: x["list"]))), ",").alias("lists"), (F.size("__active") > 0).alias("blocked"))
 
 
+def fetch_time():
+    """One noon of 2024 from the page id, as ``pages`` has no fetch time."""
+    return F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(cast(pmod(page_id, 366) as int), 12)")
+
+
 def dated_pages(pages: DataFrame) -> DataFrame:
-    """Captures of ``pages``, whose table has no fetch time: one day of 2024 from the page id."""
-    day = F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(cast(pmod(page_id, 366) as int), 12)")
-    return pages.select("page_id", "url", day.alias("fetched_at"))
+    """Captures of ``pages``."""
+    return pages.select("page_id", "url", fetch_time().alias("fetched_at"))
 
 
 def feed_from(pages: DataFrame) -> DataFrame:
