@@ -48,7 +48,7 @@ def _pack(*arrays) -> bytes:
 
     import numpy as np
 
-    return pickle.dumps([(a.dtype.str, np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes()) for a in map(np.asarray, arrays)])
+    return pickle.dumps([(a.dtype.str, np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()) for a in map(np.asarray, arrays)])
 
 
 def _unpack(data: bytes):
@@ -91,20 +91,22 @@ class Lines:
     """The tokens of a block's documents as local word numbers; 0 is the end token, and the context of a first word."""
 
     def __init__(self, table):
+        from collections import defaultdict
+
         import numpy as np
         from xxhash import xxh64_intdigest
 
         rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("b").to_pylist(), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
         self.ids = [r[0] for r in rows]
-        numbers: dict[bytes, int] = {b"": 0}
+        numbers: defaultdict[bytes, int] = defaultdict()
+        numbers.default_factory = numbers.__len__  # a new word gets the next number
+        number = numbers.__getitem__
+        number(b"")
         parts = []
         for _, data in rows:
             words = data.lower().split()
             words.append(b"")
-            for w in words:
-                if w not in numbers:
-                    numbers[w] = len(numbers)
-            parts.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.int32, count=len(words)))
+            parts.append(np.fromiter(map(number, words), dtype=np.int32, count=len(words)))
         self.sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
         self.tokens = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
         self.train = np.fromiter(map(trains, self.ids), dtype=bool, count=len(rows))
@@ -207,7 +209,7 @@ class Bucket:
         import numpy as np
 
         self.key = key
-        self.blocks, us, ws, cs = [], [], [], []
+        self.blocks, us, ns, ws, cs = [], [], [], [], []
         for origin, (contexts, n, steps, counts) in _read(table, 0):
             u = np.cumsum(contexts.astype(np.int64))
             n = n.astype(np.int64)
@@ -215,14 +217,16 @@ class Bucket:
             total = np.cumsum(steps.astype(np.int64))
             w = total - np.repeat(total[first] - steps[first].astype(np.int64), n)
             self.blocks.append((origin, len(u), len(w)))
-            us.append(np.repeat(u, n))
+            us.append(u)
+            ns.append(n)
             ws.append(w)
             cs.append(counts.astype(np.int64))
-        u, w, c = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (us, ws, cs))
+        u, n, w, c = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (us, ns, ws, cs))
         self.contexts, u = np.unique(u, return_inverse=True)
-        self.words, w = np.unique(w, return_inverse=True)
-        codes, self.of_message = np.unique(u * max(1, len(self.words)) + w, return_inverse=True)
-        self.u, self.w = codes // max(1, len(self.words)), codes % max(1, len(self.words))
+        above = int(w.max(initial=0)) + 1
+        codes, self.of_message = np.unique(np.repeat(u, n) * above + w, return_inverse=True)
+        self.u = codes // above
+        self.words, self.w = np.unique(codes % above, return_inverse=True)
         self.c = np.bincount(self.of_message, weights=c, minlength=len(codes)).astype(np.int64)
         self.total = np.bincount(self.u, weights=self.c, minlength=len(self.contexts))
         self.seats = Restaurants(self.u, self.c, DISCOUNT, STRENGTH, reseats)
