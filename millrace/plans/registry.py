@@ -1,4 +1,9 @@
 """Every query of the engine by name, and the SQL it must agree with."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from . import dedup, text
+
+MODULES = [text, dedup]
+QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
+SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
