@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import dedup, text
+from . import dedup, scored, text
 
-MODULES = [text, dedup]
+MODULES = [text, dedup, scored]
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
