@@ -19,8 +19,8 @@ than rare ones. All statistics come from all training documents. The text is
 shuffled once; the three passes over it read that one exchange. Later passes
 replay a bucket's earlier sweeps from their seeds and the answers received.
 
-Words are known by 64 bits of XXH64; at ten billion distinct words two or three
-would be taken for another.
+Words are known by a 64-bit polynomial hash of their bytes; at ten billion
+distinct words two or three would be taken for another.
 
 Defined results: null text is empty and has its end token only; a document's
 fold comes from its id as text (null: the empty text); repeated rows are
@@ -87,33 +87,94 @@ def trains(doc_id) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 7 != 2
 
 
+#: Bytes hashed at once.
+SLICE = 1 << 20
+#: The hash of the end token, and of the context of a first word.
+END = 0x9E3779B97F4A7C15
+
+
+def _byte_values():
+    """A pseudo-random odd number for each byte of a word, 0 for the blanks that part words."""
+    import numpy as np
+
+    x = np.random.default_rng(20_06).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    x[[0x20, *range(0x09, 0x0E)]] = 0
+    return x
+
+
+def word_hashes(data: bytes, values=None):
+    """Start and hash of each word, by reading all bytes at once: the sum of byte values times powers of a base."""
+    import numpy as np
+
+    values = _byte_values() if values is None else values
+    x = values[np.frombuffer(data, dtype=np.uint8)]
+    word = x != 0
+    starts = np.flatnonzero(word & ~np.concatenate(([False], word[:-1])))
+    if not len(starts):
+        return starts, np.zeros(0, dtype=np.uint64)
+    x = x[starts[0] :]
+    place = np.arange(len(x)) - np.repeat(starts - starts[0], np.diff(starts - starts[0], append=len(x)))
+    powers = np.full(int(place.max()) + 1, 0xD1342543DE82EF95, dtype=np.uint64)
+    powers[0] = 1
+    h = np.add.reduceat(x * np.multiply.accumulate(powers)[place], starts - starts[0])
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return starts, h ^ (h >> np.uint64(32))
+
+
+def _slices(texts):
+    """(text's place, bytes, whether they end it): a text longer than a slice is cut at blanks."""
+    import re
+
+    blank = re.compile(rb"[\x20\x09-\x0D]")
+    for i, t in enumerate(texts):
+        while len(t) > SLICE and (cut := blank.search(t, SLICE)):
+            yield i, t[: cut.start()] + b" ", False
+            t = t[cut.end() :]
+        yield i, t + b" ", True
+
+
 class Lines:
-    """The tokens of a block's documents as local word numbers; 0 is the end token, and the context of a first word."""
+    """The tokens of a block's documents as local numbers of their hashes; an end token closes each document, and is the context of a first word."""
 
     def __init__(self, table):
-        from collections import defaultdict
-
         import numpy as np
-        from xxhash import xxh64_intdigest
 
         rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("b").to_pylist(), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
         self.ids = [r[0] for r in rows]
-        numbers: defaultdict[bytes, int] = defaultdict()
-        numbers.default_factory = numbers.__len__  # a new word gets the next number
-        number = numbers.__getitem__
-        number(b"")
-        parts = []
-        for _, data in rows:
-            words = data.lower().split()
-            words.append(b"")
-            parts.append(np.fromiter(map(number, words), dtype=np.int32, count=len(words)))
-        self.sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        self.tokens = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
-        self.train = np.fromiter(map(trains, self.ids), dtype=bool, count=len(rows))
-        self.hashes = np.fromiter(map(xxh64_intdigest, numbers), dtype=np.uint64, count=len(numbers))
-        self.order = np.argsort(self.hashes)  # the order of asking
-        self.before = np.zeros_like(self.tokens)
+        values, parts = _byte_values(), []
+        self.sizes = np.ones(len(rows), dtype=np.int64)
+        held: list = []
+
+        def flush():
+            sizes = [len(x) for _, x, _ in held]
+            starts, h = word_hashes(b"".join(x for _, x, _ in held).lower(), values)
+            n = np.diff(np.searchsorted(starts, np.concatenate(([0], np.cumsum(sizes)))))
+            last = np.fromiter((x for _, _, x in held), dtype=bool, count=len(held))
+            np.add.at(self.sizes, [i for i, _, _ in held], n)
+            # Each text's words, then its end token.
+            at = np.cumsum(n + last)
+            out = np.full(int(at[-1]), END, dtype=np.uint64)
+            is_word = np.ones(len(out), dtype=bool)
+            is_word[at[last] - 1] = False
+            out[is_word] = h
+            parts.append(out)
+            held.clear()
+
+        size = 0
+        for piece in _slices([r[1] for r in rows]):
+            held.append(piece)
+            size += len(piece[1])
+            if size >= SLICE:
+                flush()
+                size = 0
+        if held:
+            flush()
+        self.hashes, tokens = np.unique(np.concatenate([np.array([END], dtype=np.uint64), *parts]), return_inverse=True)
+        self.tokens = tokens[1:].astype(np.int32)
+        self.order = np.arange(len(self.hashes))  # the order of asking
+        self.before = np.full_like(self.tokens, tokens[0])
         self.before[1:] = self.tokens[:-1]  # an end token comes before each first word
+        self.train = np.fromiter(map(trains, self.ids), dtype=bool, count=len(rows))
 
     def words_by_shard(self, shards: int):
         """(shard, places in the order of asking)"""
