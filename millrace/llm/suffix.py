@@ -308,11 +308,23 @@ def _texts(table):
     return [r[2] for r in rows], [r[1] for r in rows]
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry=()) -> DataFrame:
-    """(doc_id, b: the text's bytes, spans: array<struct<start, end>> of the bytes that repeat, rest: the columns in ``carry``), one row for each row of ``docs``."""
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """(doc_id, b: the text's bytes, spans: array<struct<start, end>> of the bytes that repeat), one row for each row of ``docs``."""
+    return _passes(docs, id_col, text_col, length, cut=False)
+
+
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """``docs`` without the bytes that repeat; what a cut leaves of a character goes with it, and a null text stays null."""
+    return _passes(docs, id_col, text_col, length, cut=True)
+
+
+def _passes(docs: DataFrame, id_col: str, text_col: str, length: int, cut: bool) -> DataFrame:
     spark = docs.sparkSession
     parts = block_count(spark)
-    rest = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("int")
+    names = list(docs.columns)
+    others = [c for c in names if c != text_col]
+    at = names.index(text_col)
+    rest = F.struct(*[F.col(c) for c in others], F.col(text_col).isNull().alias("__null")) if cut else F.lit(None).cast("int")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("b"), rest.alias("rest"))
     splitters = _splitters(rows, length, parts)
     dealt = rows.withColumn("m", F.pmod(F.xxhash64("doc_id", F.length("b"), F.substring("b", 1, 64)), F.lit(parts)).cast("int")).repartition(parts, "m")
@@ -410,57 +422,50 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         block = Block(texts, length)
         runs, contexts, _, own, bucket = left(block, replies)
         hit = unpack(replies, 2)
-        cover = np.zeros(len(block.data) + 1, dtype=np.int64)
+        starts = np.zeros(0, dtype=np.int64)
         if len(runs):
             n = np.fromiter((len(c) - length + 1 for c, _ in contexts), dtype=np.int64, count=len(contexts))
             by_bucket = np.argsort(bucket, kind="stable")
             first = np.zeros(len(contexts), dtype=np.int64)
             first[by_bucket] = np.cumsum(n[by_bucket]) - n[by_bucket]
             own = np.asarray(own)
-            n = n[own]
-            within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            starts = (np.repeat(block.lo[runs], n) + within)[hit[np.repeat(first[own], n) + within]]
-            np.add.at(cover, starts, 1)
-            np.add.at(cover, starts + length, -1)
-        gone = np.concatenate(([False], np.cumsum(cover)[:-1] > 0, [False]))
-        gone = gone[1:-1]
-        out = []
-        for a, b in zip(block.starts.tolist(), block.ends.tolist(), strict=True):
-            edge = np.flatnonzero(np.diff(np.concatenate(([0], gone[a:b].astype(np.int8), [0]))))
-            out.append([{"start": x, "end": y} for x, y in edge.reshape(-1, 2).tolist()])
+            # Runs come in order of place, so the windows found do too.
+            found = [np.flatnonzero(hit[f : f + k]) + lo for f, k, lo in zip(first[own].tolist(), n[own].tolist(), block.lo[runs].tolist(), strict=True)]
+            starts = np.concatenate(found)
+        doc = np.searchsorted(block.ends, starts, side="right")
+        new = np.flatnonzero((np.diff(starts, prepend=-length - 1) > length) | (np.diff(doc, prepend=-1) != 0))
+        last = np.append(new[1:] - 1, len(starts) - 1)[: len(new)]
+        out: list[list[dict]] = [[] for _ in texts]
+        for d, x, y in zip(doc[new].tolist(), starts[new].tolist(), (starts[last] + length).tolist(), strict=True):
+            base = int(block.starts[d])
+            out[d].append({"start": x - base, "end": y - base})
+        if cut:
+            held = table.column("rest").combine_chunks()
+            held = held.chunk(0) if isinstance(held, pa.ChunkedArray) else held
+            columns = held.flatten()
+            null = columns.pop().to_pylist()
+            left_over = [None if x else keep_rest(t, o).decode(errors="ignore") for t, o, x in zip(texts, out, null, strict=True)]
+            columns.insert(at, pa.array(left_over, pa.string()))
+            return pa.Table.from_arrays(columns, names=names)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table({"doc_id": table.column("doc_id"), "b": table.column("b"), "spans": pa.array(out, kind), "rest": table.column("rest")})
+        return pa.table({"doc_id": table.column("doc_id"), "b": table.column("b"), "spans": pa.array(out, kind)})
 
     reply = "m int, bucket int, size long, bits binary"
     sent = dealt.groupBy("m").applyInArrow(gram_hashes, "bucket int, m int, tokens binary, multi binary")
     first = sent.groupBy("bucket").applyInArrow(shared_hashes, reply).withColumn("step", F.lit(1)).repartition(parts, "m")
     sent = dealt.groupBy("m").cogroup(first.groupBy("m")).applyInArrow(suffixes, "bucket int, m int, contexts binary, sizes binary, anchors binary, multi binary")
     second = sent.groupBy("bucket").applyInArrow(sort_bucket, reply).withColumn("step", F.lit(2))
-    return dealt.groupBy("m").cogroup(first.unionByName(second).groupBy("m")).applyInArrow(spans, f"doc_id long, b binary, spans array<struct<start: long, end: long>>, rest {dict(rows.dtypes)['rest']}")
+    schema = docs.schema if cut else "doc_id long, b binary, spans array<struct<start: long, end: long>>"
+    return dealt.groupBy("m").cogroup(first.unionByName(second).groupBy("m")).applyInArrow(spans, schema)
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """``docs`` without the bytes that repeat; what a cut leaves of a character goes with it, and a null text stays null."""
-    found = repeats(docs, id_col, text_col, length, docs.columns)
-    names = list(docs.columns)
-    at = names.index(text_col)
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            texts = []
-            for data, spans, old in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).field(at).to_pylist(), strict=True):
-                out, last = [], 0
-                for s in spans:
-                    out.append(data[last : s["start"]])
-                    last = s["end"]
-                texts.append(old if not spans else b"".join([*out, data[last:]]).decode(errors="ignore"))
-            columns = batch.column(2).flatten()
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return found.select("b", "spans", "rest").mapInArrow(run, docs.schema)
+def keep_rest(data: bytes, spans) -> bytes:
+    """``data`` without the bytes in ``spans``."""
+    out, at = [], 0
+    for s in spans:
+        out.append(data[at : s["start"]])
+        at = s["end"]
+    return b"".join([*out, data[at:]])
 
 
 def kept(found: DataFrame) -> DataFrame:
