@@ -119,7 +119,8 @@ def minhash_dedup(docs: DataFrame, key: str, text: str, n: int = 5, bands: int =
     both = pairs.join(held.select("id", "s"), "id").join(held.select(F.col("id").alias("rep"), F.col("s").alias("t")), "rep")
     shared = F.size(F.array_intersect("s", "t"))
     alike = both.where(shared / (F.size("s") + F.size("t") - shared) >= least).groupBy("id").agg(F.min("rep").alias("kept_as"))
-    return docs.select(F.col(key)).join(alike, F.col(key) == F.col("id"), "left").select(key, F.coalesce("kept_as", F.col(key)).alias("kept_as"))
+    alike = alike.withColumnRenamed("id", "__id")
+    return docs.select(F.col(key)).join(alike, F.col(key) == F.col("__id"), "left").select(key, F.coalesce("kept_as", F.col(key)).alias("kept_as"))
 
 
 def gram_rows(docs: DataFrame, key: str, text: str, n: int = 13) -> DataFrame:
