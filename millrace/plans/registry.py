@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import dedup, relational, scored, text
+from . import dedup, extra, relational, scored, text
 
-MODULES = [text, dedup, scored, relational]
+MODULES = [text, dedup, scored, extra, relational]
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
