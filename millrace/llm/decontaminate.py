@@ -18,8 +18,6 @@ rows; an empty benchmark hits nothing.
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -268,5 +266,21 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     return docs.mapInArrow(run, docs.schema)
 
 
-def items_digest(names) -> str:
-    return hashlib.sha256(",".join(names).encode()).hexdigest()
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: The digest of ``contamination`` over whole tables, by windows instead of an automaton.
+CONTAMINATION_SQL = f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+items as (select item_id::varchar as k, {_WORDS} as w from benchmark),
+sized as (select k, w, least(10, len(w)) as n from items where len(w) > 0),
+windows as (select distinct k, n, array_to_string(w[s:s + n - 1], ' ') as g from (select k, w, n, unnest(range(1, len(w) - n + 2)) as s from sized)),
+spans as (select distinct n from windows),
+own as (select doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') as g
+        from (select d.doc_id, d.w, spans.n, unnest(range(1, len(d.w) - spans.n + 2)) as s from d join spans on len(d.w) >= spans.n)),
+hits as (select own.doc_id, own.s, own.n, windows.k from own join windows on own.n = windows.n and own.g = windows.g),
+places as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + n)) as p from hits) group by doc_id),
+found as (select doc_id, count(distinct k) as n_items, string_agg(distinct k, ',' order by k) as names from hits group by doc_id)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join places on d.doc_id = places.doc_id left join found on d.doc_id = found.doc_id
+"""

@@ -72,6 +72,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op5_decontaminate": decontaminate.CONTAMINATION_SQL,
     "op6_mix": mixing.MIX_SQL.format(docs="documents") + "select doc_id, size, source_size, target, (copies * size)::bigint as taken from mixed",
     "op10_urlfilter": urlfilter.FEED_SQL,
 }

@@ -8,8 +8,9 @@ it. Every capture is then evaluated against the intervals that hold its fetch
 time, as of that time: later listings don't condemn earlier captures.
 
 Patterns meet distinct hosts, not captures, so a host that has a third of all
-captures is matched once; its intervals then join the captures by equality,
-a join that Spark can split where a host is hot. Entries of one list and
+captures is matched once. The intervals then join the captures by equality:
+broadcast while they are at most ``BROADCAST_INTERVALS``, or else by a shuffle
+join, which Spark can split where a host is hot. Entries of one list and
 pattern at the same time: ``remove`` wins.
 
 Defined results: a null or unparsable url and a null fetch time match nothing
@@ -23,6 +24,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
+#: Intervals (about 100 bytes each) up to which a side is broadcast.
+BROADCAST_INTERVALS = 100_000
+
 URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^#]*)"
 
 
@@ -51,20 +57,27 @@ def _packed(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.collect_set(F.struct("list", "pattern", "valid_from", "valid_to")).alias("held"))
 
 
+def _with(captures: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+    """``captures`` with their rules by key, where there are any."""
+    rules = materialize(rules, key)
+    n = rules.agg(F.sum(F.size("held"))).first()[0] or 0
+    rules = rules.withColumnRenamed("held", f"by_{key}")
+    return captures.join(F.broadcast(rules) if n <= BROADCAST_INTERVALS else rules, key, "left")
+
+
 def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", at_col: str = "fetched_at") -> DataFrame:
     """``captures`` with host, n_active (entries in force at the fetch), lists (their names, sorted, comma-joined) and blocked."""
     kept = captures.columns
-    listed = intervals(entries)
+    listed = materialize(intervals(entries), "intervals")
     keyed = url_keys(captures, url_col)
     hosts = keyed.where("host is not null").select("host").distinct()
     labels = F.split("host", r"\.")
     above = hosts.select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("pattern"))
-    by_host = _packed(above.join(listed.where("kind = 'domain'"), "pattern"), "host").withColumnRenamed("held", "by_host")
-    by_prefix = _packed(listed.where("kind = 'prefix'").withColumn("prefix_key", F.col("pattern")), "prefix_key").withColumnRenamed("held", "by_prefix")
-    by_url = _packed(listed.where("kind = 'url'").withColumn("url_key", F.col("pattern")), "url_key").withColumnRenamed("held", "by_url")
-    joined = keyed.join(by_host, "host", "left").join(by_prefix, "prefix_key", "left").join(by_url, "url_key", "left")
+    joined = _with(keyed, _packed(above.join(listed.where("kind = 'domain'"), "pattern"), "host"), "host")
+    for kind, key in (("prefix", "prefix_key"), ("url", "url_key")):
+        joined = _with(joined, _packed(listed.where(F.col("kind") == kind).withColumn(key, F.col("pattern")), key), key)
     none = F.array().cast("array<struct<list:string,pattern:string,valid_from:timestamp,valid_to:timestamp>>")
-    every = F.concat(*[F.coalesce(F.col(c), none) for c in ("by_host", "by_prefix", "by_url")])
+    every = F.concat(*[F.coalesce(F.col(c), none) for c in ("by_host", "by_prefix_key", "by_url_key")])
     at = F.col(at_col)
     active = F.filter(every, lambda x: (x["valid_from"] <= at) & (x["valid_to"].isNull() | (at < x["valid_to"])))
     out = joined.withColumn("__active", active)
@@ -86,19 +99,15 @@ def feed_from(pages: DataFrame) -> DataFrame:
     keyed = url_keys(pages.select("url"))
     code = F.conv(F.substring(F.sha2("pattern", 256), 1, 6), 16, 10).cast("long")
     kinds = [("domain", "regexp_extract(host, '^[^.]*[.](.*)$', 1)", 3), ("domain", "host", 5), ("prefix", "prefix_key", 7), ("url", "url_key", 11)]
-    found = None
-    for kind, pattern, share in kinds:
-        one = keyed.selectExpr(f"{pattern} as pattern").where("pattern <> ''").distinct().withColumn("code", code).where(F.col("code") % share == 0)
-        one = one.select(F.lit(kind).alias("kind"), "pattern", "code")
-        found = one if found is None else found.unionByName(one)
-    found = found.distinct()
+    named = F.array(*[F.struct(F.lit(kind).alias("kind"), F.expr(pattern).alias("pattern"), F.lit(share).alias("share")) for kind, pattern, share in kinds])
+    each = keyed.select(F.explode(named).alias("x")).select("x.kind", "x.pattern", "x.share").where("pattern <> ''").distinct()
+    found = each.withColumn("code", code).where("code % share = 0").select("kind", "pattern", "code").distinct()
     start = "timestamp'2024-01-01 00:00:00'"
     events = [("add", "code % 300", "true"), ("remove", "code % 300 + 20 + code % 41", "code % 2 = 0"), ("add", "code % 300 + 90", "code % 4 = 0"), ("add", "code % 300 + 100", "code % 8 = 0")]
     list_of = F.element_at(F.array(F.lit("spam"), F.lit("malware"), F.lit("adult")), (F.col("code") % 3 + 1).cast("int"))
-    out = None
-    for action, day, where in events:
-        one = found.where(where).select(list_of.alias("list"), "kind", "pattern", F.lit(action).alias("action"), F.expr(f"{start} + make_dt_interval(cast({day} as int))").alias("at"))
-        out = one if out is None else out.unionByName(one)
+    dated = F.array(*[F.struct(F.lit(action).alias("action"), F.expr(f"cast({day} as int)").alias("day"), F.expr(where).alias("holds")) for action, day, where in events])
+    each = found.select(list_of.alias("list"), "kind", "pattern", F.explode(F.filter(dated, lambda x: x["holds"])).alias("e"))
+    out = each.select("list", "kind", "pattern", "e.action", F.expr(f"{start} + make_dt_interval(e.day)").alias("at"))
     fixed = pages.sparkSession.sql("select 'spam' as list, 'domain' as kind, 'spam-farm.example.org' as pattern, 'add' as action, timestamp'2024-03-01 00:00:00' as at")
     return out.unionByName(fixed)
 
