@@ -30,7 +30,7 @@ def test_run(spark, data):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_matches_sql(spark, data, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"create view {t} as select * from read_parquet('{data}/{t}.parquet')")
     df = queries.QUERIES[name](spark, data)
     columns = sorted(df.columns)
