@@ -54,3 +54,40 @@ def is_small(df: DataFrame, rows: int) -> bool:
 def utf8(column: str = "text"):
     """The UTF-8 bytes of a text column; null becomes empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on after its task, and would keep what a large block took."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def lean(f):
+    """A function of (key, table) for ``applyInArrow`` that gives back its memory."""
+
+    def run(key, table):
+        try:
+            return f(key, table)
+        finally:
+            _give_back()
+
+    return run
+
+
+def lean_cogroup(f):
+    """A function of (key, left, right) for ``applyInArrow`` that gives back its memory."""
+
+    def run(key, left, right):
+        try:
+            return f(key, left, right)
+        finally:
+            _give_back()
+
+    return run

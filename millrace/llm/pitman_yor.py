@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_count, utf8
+from .common import block_count, lean, lean_cogroup, small_batches, utf8
 
 #: Discount and strength of the context restaurants and of their parent.
 DISCOUNT, STRENGTH = 0.85, 2.0
@@ -374,6 +374,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweep
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the text)."""
     import numpy as np
 
+    small_batches(docs.sparkSession)
     parts = block_count(docs.sparkSession)
     room = sweeps * reseats
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("b"))
@@ -530,11 +531,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweep
 
     kinds = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
     deal = lambda df: df.repartition(parts, "target")
-    both = lambda a, b, f: a.groupBy("target").cogroup(b.groupBy("target")).applyInArrow(f, MESSAGE)
-    words = deal(dealt.groupBy("target").applyInArrow(count_words, MESSAGE))
-    numbers = deal(words.groupBy("target").applyInArrow(number_words, MESSAGE))
+    both = lambda a, b, f: a.groupBy("target").cogroup(b.groupBy("target")).applyInArrow(lean_cogroup(f), MESSAGE)
+    words = deal(dealt.groupBy("target").applyInArrow(lean(count_words), MESSAGE))
+    numbers = deal(words.groupBy("target").applyInArrow(lean(number_words), MESSAGE))
     pairs = deal(both(dealt, numbers, send_pairs))
-    tables = deal(pairs.groupBy("target").applyInArrow(seat, MESSAGE))
+    tables = deal(pairs.groupBy("target").applyInArrow(lean(seat), MESSAGE))
     answers = None
     for step in range(1, sweeps + 1):
         answer = both(words, tables, parent(step))
@@ -542,4 +543,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweep
         tables = deal(tables.unionByName(both(pairs, answers, sweep(step))))
     told = both(words, tables, tell_words).unionByName(both(pairs, answers, tell_pairs)).unionByName(numbers)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("target").cogroup(deal(told).groupBy("target")).applyInArrow(finish, schema)
+    return dealt.groupBy("target").cogroup(deal(told).groupBy("target")).applyInArrow(lean_cogroup(finish), schema)

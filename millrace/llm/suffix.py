@@ -40,7 +40,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_count, utf8
+from .common import block_count, lean, lean_cogroup, small_batches, utf8
 
 LENGTH = 200
 #: Documents from which splitters are sampled.
@@ -320,6 +320,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _passes(docs: DataFrame, id_col: str, text_col: str, length: int, cut: bool) -> DataFrame:
     spark = docs.sparkSession
+    small_batches(spark)
     parts = block_count(spark)
     names = list(docs.columns)
     others = [c for c in names if c != text_col]
@@ -451,12 +452,12 @@ def _passes(docs: DataFrame, id_col: str, text_col: str, length: int, cut: bool)
         return pa.table({"doc_id": table.column("doc_id"), "b": table.column("b"), "spans": pa.array(out, kind)})
 
     reply = "m int, bucket int, size long, bits binary"
-    sent = dealt.groupBy("m").applyInArrow(gram_hashes, "bucket int, m int, tokens binary, multi binary")
-    first = sent.groupBy("bucket").applyInArrow(shared_hashes, reply).withColumn("step", F.lit(1)).repartition(parts, "m")
-    sent = dealt.groupBy("m").cogroup(first.groupBy("m")).applyInArrow(suffixes, "bucket int, m int, contexts binary, sizes binary, anchors binary, multi binary")
-    second = sent.groupBy("bucket").applyInArrow(sort_bucket, reply).withColumn("step", F.lit(2))
+    sent = dealt.groupBy("m").applyInArrow(lean(gram_hashes), "bucket int, m int, tokens binary, multi binary")
+    first = sent.groupBy("bucket").applyInArrow(lean(shared_hashes), reply).withColumn("step", F.lit(1)).repartition(parts, "m")
+    sent = dealt.groupBy("m").cogroup(first.groupBy("m")).applyInArrow(lean_cogroup(suffixes), "bucket int, m int, contexts binary, sizes binary, anchors binary, multi binary")
+    second = sent.groupBy("bucket").applyInArrow(lean(sort_bucket), reply).withColumn("step", F.lit(2))
     schema = docs.schema if cut else "doc_id long, b binary, spans array<struct<start: long, end: long>>"
-    return dealt.groupBy("m").cogroup(first.unionByName(second).groupBy("m")).applyInArrow(spans, schema)
+    return dealt.groupBy("m").cogroup(first.unionByName(second).groupBy("m")).applyInArrow(lean_cogroup(spans), schema)
 
 
 def keep_rest(data: bytes, spans) -> bytes:
