@@ -143,3 +143,43 @@ def rouge_l(prediction: str | None, reference: str | None) -> float:
             last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
     n = row[-1]
     return 2 * n / (len(a) + len(b)) if n else 0.0
+
+
+def bleu(prediction: str | None, reference: str | None, longest: int = 4) -> float:
+    """Geometric mean of clipped n-gram precisions with the brevity penalty, unsmoothed."""
+    import math
+    from collections import Counter
+
+    a, b = (prediction or "").split(), (reference or "").split()
+    logs = 0.0
+    for n in range(1, longest + 1):
+        said = Counter(tuple(a[i : i + n]) for i in range(len(a) - n + 1))
+        held = Counter(tuple(b[i : i + n]) for i in range(len(b) - n + 1))
+        hit = sum((said & held).values())
+        if not hit:
+            return 0.0
+        logs += math.log(hit / sum(said.values()))
+    return math.exp(logs / longest) * min(1.0, math.exp(1 - len(b) / len(a)))
+
+
+def candidates(response: str | None) -> list:
+    """What an open answer may mean: its numbers, and its last statement's words in lower case."""
+    text = (response or "").strip()
+    numbers = [float(x.replace(",", "")) for x in re.findall(r"-?\d[\d,]*(?:\.\d+)?", text)]
+    tail = re.split(r"(?i)\b(?:so|is|are|thus|therefore|final|answer|result)\b:?", text)[-1].strip(" .\n").lower()
+    return [*dict.fromkeys(numbers), *([tail] if tail else [])]
+
+
+def open_answer_correct(response: str | None, answers: list[str]) -> bool:
+    """Whether a candidate equals an answer as a number, or holds it as text."""
+    found = candidates(response)
+    for a in answers:
+        try:
+            number = float(a.replace(",", ""))
+        except ValueError:
+            if any(isinstance(c, str) and a.lower() in c for c in found):
+                return True
+        else:
+            if any(isinstance(c, float) and abs(c - number) < 5e-3 for c in found):
+                return True
+    return False

@@ -66,3 +66,27 @@ def test_annotator(spark):
     broken = Annotator("score", F.col("text"), lambda: lambda texts: 1 / 0)
     got = broken.apply(rows).collect()
     assert all(r["score"] is None and "ZeroDivision" in r["score_error"] for r in got)
+
+
+def test_open_answers():
+    assert texts.open_answer_correct("So the answer is 3.50 dollars.", ["3.5"]) and not texts.open_answer_correct("It is 4.", ["3.5"])
+    assert texts.open_answer_correct("The result is Red Fox", ["red fox"]) and not texts.open_answer_correct(None, ["x"])
+    assert texts.bleu("a b c d e", "a b c d e") == pytest.approx(1) and texts.bleu("", "a") == 0
+
+
+def test_shapes(spark):
+    from millrace.operators import shapes
+
+    a = spark.createDataFrame([("t1", "u", 5)], "text string, url string, n long")
+    b = spark.createDataFrame([("t2",)], "text string")
+    got = sorted((r["text"], r["url"], r["source"], r["meta"]) for r in shapes.one_schema({"a": a, "b": b}, ["text", "url"]).collect())
+    assert got == [("t1", "u", "a", '{"n":5}'), ("t2", None, "b", "{}")]
+    asked = shapes.asked_turns(spark.createDataFrame([(1, "q", "r")], "id long, q string, a string"), F.col("q"), F.col("a"), "s", ["Be short."], "id")
+    turn = asked.first()["texts"][0]
+    assert (turn["user"], turn["assistant"], turn["source"]) == ("q\nBe short.", "r", "s")
+    assert shapes.fits(asked, "texts", 10).count() == 1 and shapes.fits(asked, "texts", 2).count() == 0
+    merged = shapes.merged_turns(asked.withColumn("k", F.lit("p")).union(asked.withColumn("id", F.lit(0)).withColumn("k", F.lit("p"))), "k", "id")
+    assert len(merged.first()["texts"]) == 2
+    names = spark.createDataFrame([(7, "seven")], "id long, name string")
+    assert shapes.decoded(spark.createDataFrame([(1, [7, 8])], "k long, ids array<long>"), "k", "ids", names).first()["names"] == ["seven", None]
+    assert spark.range(1).select(shapes.window_of(F.array(*[F.lit(i) for i in range(9)]), F.lit(3), 4).alias("w")).first()["w"][3] <= 8
