@@ -47,6 +47,8 @@ LENGTH = 200
 SAMPLE_DOCS = 2000
 SLICE = 1 << 20
 SMALL = 48
+#: Blocks of documents to a bucket of suffixes: a block holds its texts more than once.
+BLOCKS = 2
 
 
 def _gram(length: int) -> int:
@@ -322,13 +324,14 @@ def _passes(docs: DataFrame, id_col: str, text_col: str, length: int, cut: bool)
     spark = docs.sparkSession
     small_batches(spark)
     parts = block_count(spark)
+    blocks = BLOCKS * parts
     names = list(docs.columns)
     others = [c for c in names if c != text_col]
     at = names.index(text_col)
     rest = F.struct(*[F.col(c) for c in others], F.col(text_col).isNull().alias("__null")) if cut else F.lit(None).cast("int")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("b"), rest.alias("rest"))
     splitters = _splitters(rows, length, parts)
-    dealt = rows.withColumn("m", F.pmod(F.xxhash64("doc_id", F.length("b"), F.substring("b", 1, 64)), F.lit(parts)).cast("int")).repartition(parts, "m")
+    dealt = rows.withColumn("m", F.pmod(F.xxhash64("doc_id", F.length("b"), F.substring("b", 1, 64)), F.lit(blocks)).cast("int")).repartition(blocks, "m")
 
     def gram_hashes(key, table):
         import numpy as np
@@ -453,7 +456,7 @@ def _passes(docs: DataFrame, id_col: str, text_col: str, length: int, cut: bool)
 
     reply = "m int, bucket int, size long, bits binary"
     sent = dealt.groupBy("m").applyInArrow(lean(gram_hashes), "bucket int, m int, tokens binary, multi binary")
-    first = sent.groupBy("bucket").applyInArrow(lean(shared_hashes), reply).withColumn("step", F.lit(1)).repartition(parts, "m")
+    first = sent.groupBy("bucket").applyInArrow(lean(shared_hashes), reply).withColumn("step", F.lit(1)).repartition(blocks, "m")
     sent = dealt.groupBy("m").cogroup(first.groupBy("m")).applyInArrow(lean_cogroup(suffixes), "bucket int, m int, contexts binary, sizes binary, anchors binary, multi binary")
     second = sent.groupBy("bucket").applyInArrow(lean(sort_bucket), reply).withColumn("step", F.lit(2))
     schema = docs.schema if cut else "doc_id long, b binary, spans array<struct<start: long, end: long>>"
