@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Inside a character class: punctuation, symbols (emoji too), numbers and blanks.
 SPECIAL = r"\p{P}\p{S}\p{N}\p{Z}\x00-\x20\x7F-\x9F"
 #: Blanks that count as a space when texts are normalised: fixed values.
-SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+SPACES = "\u00a0\u0084\ufffc\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 #: Unicode punctuation and its plain form: fixed values.
 PUNCTUATION = {"，": ",", "。": ".", "、": ",", "„": '"', "”": '"', "“": '"', "«": '"', "»": '"', "１": '"', "」": '"', "「": '"', "《": '"', "》": '"', "´": "'", "∶": ":", "：": ":", "？": "?", "！": "!", "（": "(", "）": ")", "；": ";", "–": "-", "—": " - ", "．": ". ", "～": "~", "’": "'", "…": "...", "━": "-", "〈": "<", "〉": ">", "【": "[", "】": "]", "％": "%", "►": "-"}
 

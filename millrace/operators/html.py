@@ -18,9 +18,14 @@ from pyspark.sql import functions as F
 #: Tags that only style their text: fixed values.
 STYLE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "shadow", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 #: Tags whose texts and media are kept; all others go with what they hold: fixed values.
-CONTENT = {"address", "article", "aside", "blink", "blockquote", "body", "caption", "center", "dd", "dl", "dt", "div", "figcaption", "figure", "h", "hgroup", "html", "img", "legend", "main", "marquee", "ol", "p", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul", "li", "video", "audio", "picture", "pre"}
+CONTENT = set(
+    "address article aside blink blockquote body br caption center dd dl dt div figcaption h h1 h2 h3 h4 h5 h6 hgroup html legend main marquee ol p section summary title ul "
+    "audio embed figure iframe img object picture video source".split()
+)
+#: The separator that a text in such a tag asks for, where it isn't none: fixed values.
+LINE = set("address article aside center dd dt div figcaption hgroup legend main marquee section summary".split())
+PARAGRAPH = set("blockquote dl h1 h2 h3 h4 h5 h6 ol p ul".split())
 NAVIGATION = {"footer", "header", "navigation", "nav", "navbar", "menu"}
-LINE_TAGS = {"dd", "dt", "li", "tr", "td", "th", "caption", "legend", "summary", "figcaption"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BLOCKS = {"address", "article", "aside", "blockquote", "center", "dl", "div", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
@@ -37,8 +42,7 @@ class _Reader(HTMLParser):
         self.nodes: list[tuple] = []
 
     def _kept(self, tag: str, attrs: dict) -> bool:
-        plain = re.sub("[0-9]", "", tag)
-        if tag not in STYLE and plain not in CONTENT and tag != "br":
+        if tag not in STYLE and re.sub("[0-9]", "", tag) not in CONTENT:
             return False
         return not (tag == "div" and any((attrs.get(k) or "").strip().lower() in NAVIGATION for k in ("id", "class", "title")))
 
@@ -97,11 +101,11 @@ def media_source(attrs: dict) -> str | None:
 
 
 def _gap(a, b) -> str:
-    """The separator that two paths ask for: a paragraph between blocks, a line between items."""
+    """The strongest separator that the tags in which two paths differ ask for."""
     differ = {t for _, t in set(a) ^ set(b)}
-    if differ - LINE_TAGS:
+    if differ & PARAGRAPH:
         return "\n\n"
-    return "\n" if differ else ""
+    return "\n" if differ & LINE else ""
 
 
 def nodes_of(page: str | None) -> list[dict]:

@@ -9,7 +9,7 @@ from ..functions import ratios
 from ..functions.words import words
 
 #: Substrings of an address that mark a picture as furniture: fixed values.
-BANNED = ("logo", "button", "icon", "plugin", "widget")
+BANNED = ("logo", "button", "icon", "plugin", "widget", "porn", "xxx", "sex")
 
 
 def caption_passes(text: Column, w: Column, least: int = 1, most: int = 256, repetition: float = 0.7, special: float = 0.4) -> Column:
