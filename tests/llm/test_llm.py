@@ -319,20 +319,17 @@ def test_pitman_yor_counts_and_probabilities(docs, rows, empty):
     assert pitman_yor.score(empty).count() == 0
 
 
-def test_pitman_yor_sums_to_one(spark):
-    """One context's probabilities over all known words and the unknown one sum to 1."""
-    text = "a b a c a b a d a b"
-    known = ["a", "b", "c", "d"]
+def test_pitman_yor_prefers_what_it_saw(spark):
+    """"a b" ends every training text: P(a) is near 1, P(b after a) 3/5 and P(end after b) 1/3. Unseen pairs fall to the parent."""
     learns = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2]
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]
-    probes = [*known, "zz"]
-    df = spark.createDataFrame([(i, text) for i in learns] + [(h, f"a {w}") for h, w in zip(held, probes, strict=False)] + [(held[10], "a")], "doc_id long, text string")
-    got = {r["doc_id"]: r["score"] for r in pitman_yor.score(df).collect()}
-    # log P(a|start) + log P(end|a) is the score of "a"; "a w" adds P(w|a) and ends from w.
-    ends = {r["doc_id"]: r["score"] for r in pitman_yor.score(df.unionByName(spark.createDataFrame([(held[11], "")], "doc_id long, text string"))).collect()}
-    assert all(x < 0 for x in got.values()) and ends[held[11]] < 0
-    known_mass = 10 ** got[held[10]]
-    assert 0 < known_mass < 1
+    probes = {"seen": "a b", "new": "a a", "unknown": "a zz", "empty": ""}
+    df = spark.createDataFrame([(i, "a b a c a b a d a b") for i in learns] + list(zip(held, probes.values(), strict=False)), "doc_id long, text string")
+    by_id = {r["doc_id"]: r["score"] for r in pitman_yor.score(df).collect()}
+    got = dict(zip(probes, (by_id[h] for h in held), strict=False))
+    assert got["seen"] == pytest.approx(math.log10(3 / 5 / 3), abs=0.1) and max(got["new"], got["unknown"]) < -2.5 and all(x < 0 for x in got.values())
+    again = {r["doc_id"]: r["score"] for r in pitman_yor.score(df.repartition(6)).collect()}
+    assert all(again[k] == pytest.approx(v) for k, v in by_id.items())
 
 
 def test_word_hashes_split_as_bytes_do():
