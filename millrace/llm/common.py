@@ -78,6 +78,7 @@ def lean(f):
         finally:
             _give_back()
 
+    run.__name__ = f.__name__  # the plan names the step
     return run
 
 
@@ -90,4 +91,5 @@ def lean_cogroup(f):
         finally:
             _give_back()
 
+    run.__name__ = f.__name__  # the plan names the step
     return run
