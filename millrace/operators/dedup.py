@@ -80,6 +80,126 @@ def shingle_hashes(text: str | None, n: int = 5):
     return np.unique(np.array([int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "little", signed=True) for g in grams], dtype=np.int64))
 
 
+#: Mixes shingle hashes to the number of their set.
+SET_ODD = 0xD6E8FEB86659FD93
+
+
+def _set_number(s) -> int:
+    import numpy as np
+
+    mixed = s.astype(np.uint64) * np.uint64(SET_ODD)
+    return (mixed ^ (mixed >> np.uint64(31))).sum(dtype=np.uint64).astype(np.int64)
+
+
+def _sets(docs: DataFrame, text: str, shingles) -> DataFrame:
+    """(sid, s) of texts with shingles; computed again where needed, as sets take more room than texts."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            own = [s for x in batch.column(0).to_pylist() if len(s := shingles(x))]
+            yield pa.RecordBatch.from_arrays([pa.array([_set_number(s) for s in own], pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["sid", "s"])
+
+    return docs.select(text).mapInArrow(run, "sid long, s array<long>")
+
+
+def _signed(docs: DataFrame, key: str, text: str, shingles, bands: int, rows: int) -> DataFrame:
+    """(id, sid, bands) of texts with shingles: ``sid`` is one number for equal shingle sets, ``bands`` a hash of each band's minima."""
+
+    def sign(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        rng = np.random.default_rng(20_16)
+        odd = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        place = rng.integers(0, 1 << 63, bands, dtype=np.uint64)
+        for batch in batches:
+            ids, sids, signs = [], [], []
+            for i, x in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                s = shingles(x)
+                if len(s):
+                    least_of = np.full(bands * rows, np.iinfo(np.uint64).max, dtype=np.uint64)
+                    for at in range(0, len(s), 1024):
+                        part = s[at : at + 1024].astype(np.uint64)[:, None] * odd[None, :]
+                        least_of = np.minimum(least_of, (part ^ (part >> np.uint64(29))).min(axis=0))
+                    ids.append(i.as_py())
+                    sids.append(_set_number(s))
+                    signs.append(((least_of.reshape(bands, rows) * odd[:rows]).sum(axis=1) + place).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(sids, pa.int64()), pa.array(signs, pa.list_(pa.int64()))], names=["id", "sid", "bands"])
+
+    rows_in = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
+    return rows_in.mapInArrow(sign, f"id {dict(rows_in.dtypes)['id']}, sid long, bands array<long>")
+
+
+#: Sets of a band's group that are compared with one another at once.
+BLOCK = 512
+
+
+def _block_links(key, table, least: float):
+    """Links between sets of one group, or of two blocks of it, enough to connect what is alike; same labels are connected already."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ..llm.components import Forest
+
+    sid, label, block = (np.asarray(table.column(c).combine_chunks()) for c in ("sid", "label", "block"))
+    sets = table.column("s").combine_chunks()
+    sizes = np.diff(np.asarray(sets.offsets))
+    flat = np.asarray(sets.flatten())
+    _, token = np.unique(flat, return_inverse=True)
+    order = np.argsort(token, kind="stable")
+    owner = np.repeat(np.arange(len(sid)), sizes)[order]
+    count = np.bincount(token)
+    start = np.cumsum(count) - count
+    ends = np.cumsum(sizes)
+    forest, found = Forest(), []
+    two = len(set(block.tolist())) > 1
+    for i in range(len(sid)):
+        own = token[ends[i] - sizes[i] : ends[i]]
+        n = count[own]
+        at = np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        shared = np.bincount(owner[at], minlength=len(sid))
+        near = shared / (sizes + sizes[i] - shared) >= least
+        near &= (label != label[i]) & (block != block[i] if two else True)
+        for j in np.flatnonzero(near[:i]).tolist():
+            x, y = int(label[i]), int(label[j])
+            if forest.find(x) != forest.find(y):
+                forest.link(x, y)
+                found.append((int(sid[i]), int(sid[j])))
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+
+def jaccard_components(held: DataFrame, every: DataFrame, least: float) -> DataFrame:
+    """(sid, root) of the sets of ``_signed`` (``every``: ``_sets`` of the same) that are alike through a chain of pairs, each sharing a band and verified exactly.
+
+    First each set is verified against the smallest of its group in a band.
+    Groups whose sets don't all hang on one and the same set after that are
+    compared in full, in blocks; of groups with the same members, one is.
+    """
+    from ..llm.common import materialize
+    from ..llm.components import components
+
+    each = held.select("sid", F.explode("bands").alias("g"))
+    groups = each.groupBy("g").agg(F.min("sid").alias("rep"), F.max("sid").alias("top")).where("rep < top").select("g", "rep")
+    member = materialize(each.join(groups, "g").distinct(), "bands")
+    sets = materialize(every.join(member.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]), "sets")
+    pairs = member.where("sid <> rep").select("sid", "rep").distinct()
+    both = pairs.join(sets, "sid").join(sets.select(F.col("sid").alias("rep"), F.col("s").alias("t")), "rep")
+    shared = F.size(F.array_intersect("s", "t"))
+    first = materialize(both.where(shared / (F.size("s") + F.size("t") - shared) >= least).select(F.col("sid").alias("a"), F.col("rep").alias("b")), "links")
+    label = first.groupBy(F.col("a").alias("sid")).agg(F.min("b").alias("label"))
+    labelled = member.select("g", "sid").join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    open_groups = labelled.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("sid")).alias("x")).where("lo < hi")
+    open_groups = open_groups.groupBy("n", "x").agg(F.min("g").alias("g"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = labelled.join(open_groups, "g").withColumn("m", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("m")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    dealt = dealt.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sid", "label", "block").join(sets, "sid")
+    second = dealt.groupBy("g", "i", "j").applyInArrow(lambda key, table: _block_links(key, table, least), "a long, b long")
+    return components(first.unionByName(second)).withColumnRenamed("node", "sid")
+
+
 def minhash_dedup(docs: DataFrame, key: str, text: str, n: int = 5, bands: int = 20, rows: int = 5, least: float = 0.8) -> DataFrame:
     """(key, kept_as): each document with the smallest id among the verified near copies that share a band with it.
 

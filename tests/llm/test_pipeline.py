@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -46,3 +47,31 @@ def test_query_returns_its_whole_table(spark, data, name):
     out = queries.QUERIES[name](spark, data)
     n = {"op2_warc": 2 * table(spark, data, "pages").count(), "op10_urlfilter": table(spark, data, "pages").count(), "op3_nearest": 5 * table(spark, data, "embeddings").where("vec_id % 50 = 0").count()}
     assert out.count() == n.get(name, table(spark, data, "documents").count())
+
+
+def test_near_dedup_matches_brute_force_jaccard(spark):
+    rng = np.random.default_rng(11)
+    vocab = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(12):
+        base = rng.choice(vocab, 200).tolist()
+        for k in range(8):
+            own = list(base)
+            for at in rng.choice(200, k, replace=False):
+                own[at] = "X" + str(at)
+            texts.append(" ".join(own))
+    texts += ["", " ", "one two", "One  two", *[" ".join(rng.choice(vocab, 60)) for _ in range(20)]]
+    ids = rng.permutation(len(texts)).tolist()
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    for i, j in linked:
+        root[find(i)] = find(j)
+    want = {min(ids[k] for k in range(len(texts)) if find(k) == r) for r in {find(k) for k in range(len(texts))}}
+    rows = spark.createDataFrame([*zip(ids, texts, strict=True), (None, texts[0])], "doc_id long, text string").repartition(3)
+    out = [r["doc_id"] for r in corpus_pipeline.STAGES[1][1](spark, rows, "").collect()]
+    assert out.count(None) == 1 and sorted(x for x in out if x is not None) == sorted(want)
