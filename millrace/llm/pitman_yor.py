@@ -3,11 +3,13 @@
 Each word's successors sit in a restaurant of that context; all contexts share
 one parent restaurant of single words, whose base is uniform over the training
 words and one unknown. A context's tables are the parent's customers. Seating
-starts with one table for each dish. A sweep unseats ``RESEATS`` customers of
-every dish with two or more, one at a time and drawn by table size, and seats
-them again by the Gibbs conditional: at a table in proportion to its size less
-the discount, at a new one in proportion to the parent's probability. Dishes
-of a context move in parallel, seeing its table count of the step before.
+starts with one table for each dish. A sweep moves all customers of every dish
+with two or more: up to ``AT_ONCE`` customers, the dish's table count is drawn
+from its exact conditional (generalised Stirling numbers, the tables of the
+context's other dishes, the parent's probability); beyond, each customer is
+unseated and seated again by the Gibbs conditional. Dishes of a context with
+equally many customers move in parallel, the others one after another. The
+parent's tables go on from step to step, as far as it has customers for them.
 Predictive probabilities are averaged over the states after each sweep.
 
 Nothing is gathered in one place: blocks of documents send each distinct word
@@ -38,7 +40,7 @@ from .common import block_count, lean, lean_cogroup, small_batches, utf8
 #: Discount and strength of the context restaurants and of their parent.
 DISCOUNT, STRENGTH = 0.85, 2.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.7, 10.0
-SWEEPS, RESEATS = 2, 3
+SWEEPS = 2
 MESSAGE = "target int, origin int, step int, data binary"
 
 
@@ -205,9 +207,9 @@ class Lines:
         place = np.full(len(self.tokens), -1, dtype=np.int64)
         place[use] = inverse
         u, w = distinct // max(1, len(number)), number[by_w[distinct % max(1, len(number))]]
-        first = np.flatnonzero(np.diff(u, prepend=-1))
-        contexts = number[by_u[u[first]]]
-        return contexts, np.diff(first, append=len(u)), w, counts, _bucket_of(contexts, shards), place
+        every = np.unique(u)
+        contexts = number[by_u[every]]
+        return contexts, np.bincount(np.searchsorted(every, u), minlength=len(every)), w, counts, _bucket_of(contexts, shards), place
 
 
 def _shard_of(hashes, shards: int):
@@ -224,7 +226,7 @@ def _bucket_of(number, shards: int):
 
 
 class Restaurants:
-    """Dishes with their customers at tables, by restaurant; dishes of one customer have one table and never move."""
+    """Seating by single moves, ``reseats`` a dish at most in all: what ``Seating`` is held against."""
 
     def __init__(self, restaurant, customers, discount: float, strength: float, reseats: int):
         import numpy as np
@@ -263,10 +265,163 @@ class Restaurants:
             self.table_total += np.bincount(where, weights=change, minlength=len(self.table_total))
 
 
+#: Dishes of up to so many customers have their table count drawn at once from its exact conditional; larger ones reseat each customer.
+AT_ONCE = 1024
+
+
+def log_stirling(counts, discount: float) -> dict:
+    """For each count c: the logarithms of the generalised Stirling numbers of c customers at 1..c tables."""
+    import numpy as np
+
+    wanted, out = set(np.asarray(counts).tolist()), {}
+    row = np.zeros(1)
+    for c in range(1, max(wanted, default=0) + 1):
+        if c > 1:
+            t = np.arange(1, c + 1)
+            stay = np.append(row + np.log(c - 1 - discount * t[:-1]), -np.inf)
+            row = np.logaddexp(stay, np.append(-np.inf, row))
+        if c in wanted:
+            out[c] = row
+    return out
+
+
+class Seats:
+    """The customers of one dish, each with its table."""
+
+    def __init__(self, customers: int, tables: int):
+        self.at = [*range(tables), *[0] * (customers - tables)]
+        self.size, self.free, self.tables = [customers - tables + 1, *[1] * (tables - 1)], [], tables
+
+    def _leave(self, k: int) -> None:
+        self.size[k] -= 1
+        if not self.size[k]:
+            self.free.append(k)
+            self.tables -= 1
+
+    def _sit(self, others: list, n: int, discount: float, new: float, rng) -> int:
+        """A table for a customer: one of the ``n`` seated in proportion to size less discount, or a new one."""
+        old = n - discount * self.tables
+        if rng.random() * (old + new) >= old:
+            if not self.free:
+                self.size.append(0)
+            k = self.free.pop() if self.free else len(self.size) - 1
+            self.tables += 1
+        else:
+            while True:  # a table by a customer at it, then given up with odds of discount / size
+                k = others[int(rng.random() * n)]
+                if rng.random() * self.size[k] >= discount:
+                    break
+        self.size[k] += 1
+        return k
+
+    def resize(self, n: int, other_tables: float, base: float, discount: float, strength: float, rng) -> None:
+        """Customers drawn at random leave, or new ones come, until there are ``n``."""
+        while len(self.at) > n:
+            i = int(rng.random() * len(self.at))
+            self.at[i], self.at[-1] = self.at[-1], self.at[i]
+            self._leave(self.at.pop())
+        while len(self.at) < n:
+            self.at.append(self._sit(self.at, len(self.at), discount, (strength + discount * (other_tables + self.tables)) * base, rng))
+
+    def sweep(self, other_tables: float, base: float, discount: float, strength: float, rng) -> None:
+        """Unseats each customer once and seats it again."""
+        at, last = self.at, len(self.at) - 1
+        for i in range(len(at)):
+            at[i], at[last] = at[last], at[i]
+            self._leave(at[last])
+            at[last] = self._sit(at, last, discount, (strength + discount * (other_tables + self.tables)) * base, rng)
+
+
+class Seating:
+    """Dishes with their customers at tables, by restaurant; dishes of one customer have one table and never move."""
+
+    def __init__(self, restaurant, customers, discount: float, strength: float, n: int = 1):
+        import numpy as np
+
+        self.restaurant, self.customers, self.discount, self.strength = restaurant, customers.astype(np.int64), discount, strength
+        self.tables = np.minimum(self.customers, 1)
+        self.n = n
+        self.seats: dict = {}
+        self._count()
+
+    def _count(self) -> None:
+        import numpy as np
+
+        self.moving = np.flatnonzero(self.customers >= 2)
+        self.table_total = np.bincount(self.restaurant, weights=self.tables, minlength=self.n)
+
+    def seat(self, customers) -> None:
+        """As many customers as this from now on; a dish keeps its tables as far as it has customers for them."""
+        import numpy as np
+
+        self.customers = customers.astype(np.int64)
+        self.tables = np.clip(self.tables, np.minimum(self.customers, 1), self.customers)
+        self._count()
+
+    def sweep(self, base, rng) -> None:
+        """All customers of all moving dishes once. ``base``: the parent's probability of each moving dish."""
+        import random
+
+        import numpy as np
+
+        if not len(self.moving):
+            return
+        number = self.customers[self.moving]
+        order = np.argsort(number, kind="stable")
+        cut = np.flatnonzero(np.diff(number[order], prepend=0))
+        small = np.unique(number[number <= AT_ONCE])
+        stirling = log_stirling(small, self.discount)
+        for i in np.split(order, cut[1:]):
+            c = int(number[i[0]])
+            if c > AT_ONCE:
+                break
+            t = np.arange(1, c + 1)
+            if c <= 16:  # the same weights over that of one table, as products
+                own, p = self.moving[i], base[i]
+                r = self.restaurant[own]
+                grown = self.strength + self.discount * (self.table_total[r] - self.tables[own])
+                times = np.exp(stirling[c] - stirling[c][0])
+                product, sums = np.ones(len(own)), [np.ones(len(own))]
+                for k in range(1, c):
+                    product = product * ((grown + self.discount * k) * p)
+                    sums.append(sums[-1] + product * times[k])
+                draw = rng.random(len(own)) * sums[-1]
+                new = np.ones(len(own), dtype=np.int64)
+                for x in sums[:-1]:
+                    new += x <= draw
+                change = new - self.tables[own]
+                self.tables[own] = new
+                self.table_total += np.bincount(r, weights=change, minlength=self.n)
+                continue
+            step = max(1, (1 << 20) // c)
+            for at in range(0, len(i), step):
+                own = self.moving[i[at : at + step]]
+                other = self.table_total[self.restaurant[own]] - self.tables[own]
+                # Each new table has weight (strength + discount * tables so far) * base.
+                grown = np.log((self.strength + self.discount * (other[:, None] + t[None, :] - 1)) * base[i[at : at + step], None])
+                weight = np.cumsum(grown, axis=1) + stirling[c]
+                weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+                new = 1 + (weight <= (rng.random(len(own)) * weight[:, -1])[:, None]).sum(axis=1)
+                change = np.minimum(new, c) - self.tables[own]
+                self.tables[own] += change
+                self.table_total += np.bincount(self.restaurant[own], weights=change, minlength=self.n)
+        draw = random.Random(int(rng.integers(1 << 62)))
+        for i in order[np.searchsorted(number[order], AT_ONCE, side="right") :].tolist():
+            dish, c, p = int(self.moving[i]), int(number[i]), float(base[i])
+            r = self.restaurant[dish]
+            other = float(self.table_total[r] - self.tables[dish])
+            seats = self.seats.get(dish) or Seats(c, int(self.tables[dish]))
+            seats.resize(c, other, p, self.discount, self.strength, draw)
+            seats.sweep(other, p, self.discount, self.strength, draw)
+            self.seats[dish] = seats
+            self.table_total[r] += seats.tables - self.tables[dish]
+            self.tables[dish] = seats.tables
+
+
 class Bucket:
     """The contexts of one bucket, from what the blocks sent."""
 
-    def __init__(self, table, key: int, reseats: int):
+    def __init__(self, table, key: int):
         import numpy as np
 
         self.key = key
@@ -274,10 +429,10 @@ class Bucket:
         for origin, (contexts, n, steps, counts) in _read(table, 0):
             u = np.cumsum(contexts.astype(np.int64))
             n = n.astype(np.int64)
-            first = np.cumsum(n) - n
+            first = (np.cumsum(n) - n)[n > 0]
             total = np.cumsum(steps.astype(np.int64))
-            w = total - np.repeat(total[first] - steps[first].astype(np.int64), n)
-            self.blocks.append((origin, len(u), len(w)))
+            w = total - np.repeat(total[first] - steps[first].astype(np.int64), n[n > 0])
+            self.blocks.append((origin, u, len(w)))
             us.append(u)
             ns.append(n)
             ws.append(w)
@@ -290,7 +445,7 @@ class Bucket:
         self.words, self.w = np.unique(codes % above, return_inverse=True)
         self.c = np.bincount(self.of_message, weights=c, minlength=len(codes)).astype(np.int64)
         self.total = np.bincount(self.u, weights=self.c, minlength=len(self.contexts))
-        self.seats = Restaurants(self.u, self.c, DISCOUNT, STRENGTH, reseats)
+        self.seats = Seating(self.u, self.c, DISCOUNT, STRENGTH, len(self.contexts))
         seen = np.bincount(self.w, weights=self.c > 0, minlength=len(self.words)) > 0
         self.told = np.flatnonzero(seen)  # words that the parent hears of
         self.wanted = np.bincount(self.w, weights=self.c >= 2, minlength=len(self.words))[self.told] > 0
@@ -306,7 +461,7 @@ class Bucket:
         shard = self.words[self.told] % shards
         return [(s, np.flatnonzero(shard == s)) for s in np.unique(shard).tolist()]
 
-    def replay(self, answers, shards: int, reseats: int):
+    def replay(self, answers, shards: int):
         """Sweep after sweep, given the parent's answers; yields after each."""
         import numpy as np
 
@@ -320,7 +475,7 @@ class Bucket:
                     mass[self.told[own]] = a
                 n, t, v = n + totals[0], t + totals[1], v + totals[2]
             base = (mass + (PARENT_STRENGTH + PARENT_DISCOUNT * t) / (v + 1)) / (PARENT_STRENGTH + n)
-            self.seats.sweep(base[self.w[self.seats.moving]], np.random.default_rng([7, step, self.key]), reseats)
+            self.seats.sweep(base[self.w[self.seats.moving]], np.random.default_rng([7, step, self.key]))
             yield step
 
 
@@ -344,7 +499,7 @@ class Shard:
         ends = np.cumsum([len(x[0]) for _, x in sent])
         self.asked = {o: (rank[i], count[i]) for (o, _), i in zip(sent, np.split(inverse, ends[:-1]) if sent else [], strict=True)}
 
-    def states(self, messages, sweeps: int, reseats: int, shards: int):
+    def states(self, messages, sweeps: int):
         """The parent's customers less discount by word, its customers and tables, after each round of messages."""
         import numpy as np
 
@@ -352,6 +507,7 @@ class Shard:
         words = {o: x[0].astype(np.int64) for o, x in first}
         wanted = {o: x[2].astype(bool) for o, x in first}
         now = {o: x[1].astype(np.int64) for o, x in first}
+        seats = Seating(np.zeros(self.size, dtype=np.int64), np.zeros(self.size, dtype=np.int64), PARENT_DISCOUNT, PARENT_STRENGTH)
         for step in range(sweeps + 1):
             if step:
                 for o, (sums,) in messages.get(step, []):
@@ -360,23 +516,22 @@ class Shard:
             n = np.zeros(self.size, dtype=np.int64)
             for o, w in words.items():
                 n[w] += now[o]
-            seats = Restaurants(np.zeros(self.size, dtype=np.int64), n, PARENT_DISCOUNT, PARENT_STRENGTH, reseats)
+            seats.seat(n)
             # A new table's weight is (strength + discount * tables) / (words + 1); tables a word are here as everywhere.
             own = float(seats.tables.sum())
             base = PARENT_DISCOUNT * own / max(1, self.size) / (PARENT_STRENGTH + PARENT_DISCOUNT * own)
-            seats.sweep(np.full(len(seats.moving), base), np.random.default_rng([8, step, self.key]), reseats)
+            seats.sweep(np.full(len(seats.moving), base), np.random.default_rng([8, step, self.key]))
             yield step, n - PARENT_DISCOUNT * seats.tables, np.array([n.sum(), seats.tables.sum(), self.size, self.total], dtype=np.float64), words, wanted
             if step not in messages:
                 return
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweeps: int = SWEEPS, reseats: int = RESEATS) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweeps: int = SWEEPS) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the text)."""
     import numpy as np
 
     small_batches(docs.sparkSession)
     parts = block_count(docs.sparkSession)
-    room = sweeps * reseats
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("b"))
     dealt = rows.withColumn("target", F.pmod(F.xxhash64("doc_id", F.length("b"), F.substring("b", 1, 64)), F.lit(parts)).cast("int")).repartition(parts, "target")
     unseen = np.uint32(0xFFFFFFFF)
@@ -419,14 +574,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweep
             at, to = int(ends[i[0]] - n[i[0]]), int(ends[i[-1]])
             w, c = words[at:to], counts[at:to]
             step = np.diff(w, prepend=0)
-            step[ends[i] - n[i] - at] = w[ends[i] - n[i] - at]
-            small = np.uint32 if step.max() < 1 << 32 else np.uint64
+            first = (ends[i] - n[i] - at)[n[i] > 0]
+            step[first] = w[first]
+            small = np.uint32 if step.max(initial=0) < 1 << 32 else np.uint64
             u = np.diff(contexts[i], prepend=0)
             out.append((b, key[0].as_py(), 0, _pack(u.astype(np.uint32 if u.max() < 1 << 32 else np.uint64), n[i].astype(np.uint32), step.astype(small), c.astype(np.uint32))))
         return _messages(out)
 
     def seat(key, table):
-        bucket = Bucket(table, key[0].as_py(), room)
+        bucket = Bucket(table, key[0].as_py())
         sums = bucket.sums()
         return _messages([(s, bucket.key, 0, _pack((bucket.words[bucket.told[i]] // parts).astype(np.uint32), sums[i].astype(np.uint32), bucket.wanted[i])) for s, i in bucket.by_shard(parts)])
 
@@ -434,7 +590,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweep
         def run(key, table, messages):
             shard = Shard(table, key[0].as_py())
             out = []
-            for at, mass, totals, words, wanted in shard.states(_read(messages), step - 1, reseats, parts):
+            for at, mass, totals, words, wanted in shard.states(_read(messages), step - 1):
                 if at == step - 1:
                     for b in range(parts):
                         own = words[b][wanted[b]] if b in words else np.zeros(0, dtype=np.int64)
@@ -447,8 +603,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweep
         def run(key, table, answers):
             if not len(table):
                 return _messages([])
-            bucket = Bucket(table, key[0].as_py(), room)
-            for _ in bucket.replay(_read(answers), parts, reseats):
+            bucket = Bucket(table, key[0].as_py())
+            for _ in bucket.replay(_read(answers), parts):
                 pass
             sums = bucket.sums()
             return _messages([(s, bucket.key, step, _pack(sums[i][bucket.wanted[i]].astype(np.uint32))) for s, i in bucket.by_shard(parts)])
@@ -457,7 +613,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweep
 
     def tell_words(key, table, messages):
         shard = Shard(table, key[0].as_py())
-        kept = [(mass, totals) for at, mass, totals, _, _ in shard.states(_read(messages), sweeps, reseats, parts) if at]
+        kept = [(mass, totals) for at, mass, totals, _, _ in shard.states(_read(messages), sweeps) if at]
         if not kept:
             kept = [(np.zeros(shard.size), np.array([0.0, 0.0, shard.size, shard.total]))] * sweeps
         out = []
@@ -475,21 +631,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweep
     def tell_pairs(key, table, answers):
         if not len(table):
             return _messages([])
-        bucket = Bucket(table, key[0].as_py(), room)
+        bucket = Bucket(table, key[0].as_py())
         seats, full = bucket.seats, STRENGTH + bucket.total
         seen, back, n = np.zeros(len(bucket.c)), [], 0
-        for _ in bucket.replay(_read(answers), parts, reseats):
+        for _ in bucket.replay(_read(answers), parts):
             seen += np.maximum(bucket.c - DISCOUNT * seats.tables, 0) / full[bucket.u]
             back.append(((STRENGTH + DISCOUNT * seats.table_total) / full).astype(np.float32))
             n += 1
         seen = (seen / max(1, n)).astype(np.float32)
         out, at = [], 0
         for m, contexts, pairs in bucket.blocks:
-            own = bucket.of_message[at : at + pairs]
-            u = bucket.u[own]
-            first = np.flatnonzero(np.diff(u, prepend=-1))
-            out.append((m, bucket.key, 2, _pack(seen[own], *[x[u[first]] for x in back])))
-            assert len(first) == contexts
+            own, u = bucket.of_message[at : at + pairs], np.searchsorted(bucket.contexts, contexts)
+            out.append((m, bucket.key, 2, _pack(seen[own], *[x[u] for x in back])))
             at += pairs
         return _messages(out)
 

@@ -348,6 +348,34 @@ def test_gibbs_keeps_counts():
     assert seats.table_total.tolist() == [seats.tables[:2].sum(), seats.tables[2:].sum()] and (seats.tables <= seats.customers).all()
 
 
+@pytest.mark.parametrize(("at_once", "c"), [(1024, 6), (1024, 20), (1, 6)])
+def test_seating_draws_every_customer(monkeypatch, at_once, c):
+    """Table counts of a dish's customers against the recursion of the restaurant, at once and one by one."""
+    monkeypatch.setattr(pitman_yor, "AT_ONCE", at_once)
+    d, s, p, n = 0.8, 2.0, 0.3, 4000
+    odds = {1: 1.0}
+    for i in range(1, c):
+        odds = {t: odds.get(t, 0) * (i - d * t) + odds.get(t - 1, 0) * (s + d * (t - 1)) * p for t in range(1, i + 2)}
+    seats = pitman_yor.Seating(np.arange(n), np.full(n, c), d, s, n)
+    rng = np.random.default_rng(1)
+    for _ in range(12):
+        seats.sweep(np.full(n, p), rng)
+    got = np.bincount(seats.tables, minlength=c + 1)[1:] / n
+    assert got == pytest.approx([odds[t] / sum(odds.values()) for t in range(1, c + 1)], abs=0.03)
+    assert (seats.table_total == seats.tables).all()
+
+
+def test_parent_goes_on_and_has_no_cap():
+    """Three moves a step from one table left about one table a word; a word whose customers fall to two has two at most."""
+    v, count = 50, np.full(50, 1500, dtype=np.uint32)
+    table = pitman_yor._messages([(0, 0, 0, pitman_yor._pack(np.arange(1, v + 1, dtype=np.uint64), count))])
+    n = [count, np.full(v, 500, dtype=np.uint32), np.where(np.arange(v) < 5, 2, 1600).astype(np.uint32)]
+    messages = {0: [(0, (np.arange(v, dtype=np.uint32), n[0], np.ones(v, dtype=bool)))], 1: [(0, (n[1],))], 2: [(0, (n[2],))]}
+    tables = [(x - mass) / pitman_yor.PARENT_DISCOUNT for x, (_, mass, *_) in zip(n, pitman_yor.Shard(table, 0).states(messages, 2), strict=True)]
+    assert tables[0].mean() > 1.4 and all(t[5:].mean() > 2 for t in tables[1:]) and max(t.max() for t in tables) > 4 and tables[2][:5].max() < 2.01
+    assert all((t > 0.99).all() and (t <= x + 0.01).all() for t, x in zip(tables, n, strict=True))
+
+
 # 8 and 9. Classifiers
 
 
