@@ -189,7 +189,7 @@ class Lines:
     def pairs(self, number, shards: int):
         """The distinct pairs of known words, sorted by bucket, context and word.
 
-        Gives contexts (numbers), pairs for each, words (numbers), counts in training documents, bucket of each
+        Gives all known contexts (numbers), pairs for each, words (numbers), counts in training documents, bucket of each
         context, and for each token the place of its pair (-1: none).
         """
         import numpy as np
@@ -207,7 +207,7 @@ class Lines:
         place = np.full(len(self.tokens), -1, dtype=np.int64)
         place[use] = inverse
         u, w = distinct // max(1, len(number)), number[by_w[distinct % max(1, len(number))]]
-        every = np.unique(u)
+        every = np.unique(rank_u[self.before[known[self.before]]])
         contexts = number[by_u[every]]
         return contexts, np.bincount(np.searchsorted(every, u), minlength=len(every)), w, counts, _bucket_of(contexts, shards), place
 

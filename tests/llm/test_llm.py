@@ -376,6 +376,23 @@ def test_parent_goes_on_and_has_no_cap():
     assert all((t > 0.99).all() and (t <= x + 0.01).all() for t, x in zip(tables, n, strict=True))
 
 
+def test_pitman_yor_does_not_depend_on_blocks_for_unknown_words(spark):
+    """"a zz" and "a b": the unknown word's probability is what "a" leaves to the parent, whether "a b" is in its block or not."""
+    learns = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = [(i, "a b a c a b a d a b") for i in learns]
+    score = lambda *more: {r["doc_id"]: r["score"] for r in pitman_yor.score(spark.createDataFrame(rows + list(more), "doc_id long, text string").coalesce(1)).collect()}
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        together = score((held[0], "a zz"))[held[0]]
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        alone = score((held[0], "a zz"))[held[0]]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert alone == pytest.approx(together, abs=0.15)
+
+
 # 8 and 9. Classifiers
 
 
