@@ -201,46 +201,24 @@ def jaccard_components(held: DataFrame, every: DataFrame, least: float) -> DataF
 
 
 def minhash_dedup(docs: DataFrame, key: str, text: str, n: int = 5, bands: int = 20, rows: int = 5, least: float = 0.8) -> DataFrame:
-    """(key, kept_as): each document with the smallest id among the verified near copies that share a band with it.
+    """(key, kept_as): each document with the smallest id of its class of near copies.
 
-    Words go in shingles of ``n``; in each band of ``rows`` minima the smallest
-    id stands for its group, and a document is a copy of it only if their
-    shingle sets have a Jaccard similarity of ``least`` or more. A band's group
-    yields one pair a document, never all pairs. Signatures come from one
+    Words go in shingles of ``n``; two documents are near copies if they share
+    a band of ``rows`` minima and their shingle sets have a Jaccard similarity
+    of ``least`` or more, and a class is what chains of near copies connect.
+    Texts without words are copies of none. Signatures come from one
     vectorised function: a hundred minima of an exploded column would read
     every shingle a hundred times.
     """
-
-    def sign(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        rng = np.random.default_rng(20_16)
-        odd = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        for batch in batches:
-            ids, own, signs = [], [], []
-            for i, x in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                s = shingle_hashes(x, n)
-                if len(s):
-                    least_of = np.full(bands * rows, np.iinfo(np.uint64).max, dtype=np.uint64)
-                    for at in range(0, len(s), 1024):
-                        part = s[at : at + 1024].astype(np.uint64)[:, None] * odd[None, :]
-                        least_of = np.minimum(least_of, (part ^ (part >> np.uint64(29))).min(axis=0))
-                    ids.append(i.as_py())
-                    own.append(s)
-                    signs.append((least_of.reshape(bands, rows) * odd[:rows]).sum(axis=1).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(own, pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int64()))], names=["id", "s", "bands"])
-
-    rows_in = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
-    held = rows_in.mapInArrow(sign, f"id {dict(rows_in.dtypes)['id']}, s array<long>, bands array<long>")
-    each = held.select("id", F.posexplode("bands").alias("b", "h"))
-    least_id = each.groupBy("b", "h").agg(F.min("id").alias("rep"), F.count("*").alias("size")).where("size > 1").select("b", "h", "rep")
-    pairs = each.join(least_id, ["b", "h"]).where("id <> rep").select("id", "rep").distinct()
-    both = pairs.join(held.select("id", "s"), "id").join(held.select(F.col("id").alias("rep"), F.col("s").alias("t")), "rep")
-    shared = F.size(F.array_intersect("s", "t"))
-    alike = both.where(shared / (F.size("s") + F.size("t") - shared) >= least).groupBy("id").agg(F.min("rep").alias("kept_as"))
-    alike = alike.withColumnRenamed("id", "__id")
-    return docs.select(F.col(key)).join(alike, F.col(key) == F.col("__id"), "left").select(key, F.coalesce("kept_as", F.col(key)).alias("kept_as"))
+    from ..llm.common import materialize, small_batches
+
+    small_batches(docs.sparkSession)
+    shingles = lambda x: shingle_hashes(x, n)
+    held = materialize(_signed(docs, key, text, shingles, bands, rows), "signatures")
+    roots = jaccard_components(held, _sets(docs, text, shingles), least)
+    rooted = held.select("id", "sid").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("id").alias("kept_as")), "root").groupBy(F.col("id").alias("__id")).agg(F.min("kept_as").alias("kept_as"))
+    return docs.select(F.col(key)).join(named, F.col(key) == F.col("__id"), "left").select(key, F.coalesce("kept_as", F.col(key)).alias("kept_as"))
 
 
 def gram_rows(docs: DataFrame, key: str, text: str, n: int = 13) -> DataFrame:

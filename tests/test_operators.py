@@ -1,5 +1,8 @@
 """Operators on small hand-made rows, with the exact results."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +73,25 @@ def test_minhash_keeps_smallest_of_near_copies(spark):
     assert got == {5: 2, 2: 2, 9: 2, 7: 7, 8: 8, 4: 4}
 
 
+def test_minhash_finds_pairs_behind_smaller_ids_and_chains(spark):
+    rng = random.Random(5)
+    base = [f"word{i}" for i in range(400)]
+    changed = lambda t, at: " ".join(f"new{rng.random()}" if i in at else w for i, w in enumerate(t))
+    texts = {i: changed(base, set(rng.sample(range(400), 14))) for i in range(60)}
+    texts |= {1000: " ".join(base), 1001: changed(base, {200})}
+    chain = [f"link{i}" for i in range(200)]
+    texts |= {2000: changed(chain, {20, 60}), 2001: " ".join(chain), 2002: changed(chain, {100, 140}), 2003: changed(chain, {25, 70, 110, 145})}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, re.findall(r"\w+", t)) for i, t in texts.items())}
+    root = {i: i for i in texts}
+    for i in texts:
+        for j in texts:
+            if j < i and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    got = {r["id"]: r["kept_as"] for r in dedup.minhash_dedup(spark.createDataFrame(list(texts.items()), "id long, text string"), "id", "text").collect()}
+    assert got == root and root[1001] == 1000 and root[2002] == 2000
+
+
 def test_hamming_pairs(spark):
     rows = spark.createDataFrame([(1, 0), (2, 7), (3, 0), (4, -1)], "id long, c long")
     got = sorted((r["a"], r["b"], r["distance"]) for r in dedup.hamming_pairs(rows, "id", "c", 3).collect())
