@@ -116,7 +116,7 @@ def response_record(url: str | None, html: str | None, date: str) -> bytes:
 def decode(payload: bytes, content_type: str) -> tuple[str, str]:
     """The payload as text and the charset used: the header's, the page's own, or UTF-8 and else Latin-1."""
     named = re.search(r"charset=[\"']?([A-Za-z0-9_:.-]+)", content_type, re.I)
-    own = CHARSET.search(payload[:4096])
+    own = CHARSET.search(payload)
     for name in [named and named[1], own and own[1].decode(), "utf-8"]:
         if name:
             try:

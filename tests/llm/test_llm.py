@@ -125,6 +125,12 @@ def test_warc_derivatives_link_and_digest(spark):
     assert meta["warc"] == [list(x) for x in warc.parse_record(source[1])[0]]
 
 
+def test_warc_charset_named_late():
+    page = b"<html><head><script>" + b"x = 1;" * 1500 + b"</script><meta charset='windows-1251'></head><body>\xcf\xf0\xe8</body></html>"
+    text, charset = warc.decode(page, "text/html")
+    assert charset == "windows-1251" and "\u041f\u0440\u0438" in text
+
+
 def test_warc_errors_and_files(spark, tmp_path):
     bad = spark.createDataFrame([(1, bytearray(b"junk"), "x"), (2, None, "y")], "id long, record binary, error string")
     assert sorted((r["id"], r["record_type"]) for r in warc.derive(bad).collect()) == [(1, "error"), (2, "error")]
