@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.words import ngrams
+from ..sources.shared import materialize, small_batches
+from .graph import Forest, components
 
 
 def keep_first(rows: DataFrame, key: Column, order: list[Column]) -> DataFrame:
@@ -68,16 +70,28 @@ def set_key(array: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(F.array_distinct(array)), "\x1f"), 256)
 
 
+#: Odd factors of a word's place in a shingle.
+PLACE_ODD = 0x9E3779B97F4A7C15
+
+
 def shingle_hashes(text: str | None, n: int = 5):
     """The distinct 64-bit hashes of a text's n-word shingles, sorted; fewer words make one shingle, none makes none."""
-    import hashlib
     import re
 
     import numpy as np
+    from xxhash import xxh64_intdigest
 
     tokens = re.findall(r"\w+", (text or "").lower())
-    grams = {" ".join(tokens[i : i + n]) for i in range(max(1, len(tokens) - n + 1))} if tokens else set()
-    return np.unique(np.array([int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "little", signed=True) for g in grams], dtype=np.int64))
+    if not tokens:
+        return np.zeros(0, dtype=np.int64)
+    known = {w: xxh64_intdigest(w.encode()) for w in set(tokens)}
+    h = np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+    size = min(n, len(h))
+    total = np.full(len(h) - size + 1, size, dtype=np.uint64)
+    for i in range(size):
+        total = (total ^ h[i : len(h) - size + 1 + i]) * np.uint64(PLACE_ODD)
+        total ^= total >> np.uint64(32)
+    return np.unique(total.view(np.int64))
 
 
 #: Mixes shingle hashes to the number of their set.
@@ -141,7 +155,6 @@ def _block_links(key, table, least: float):
     import numpy as np
     import pyarrow as pa
 
-    from ..llm.components import Forest
 
     sid, label, block = (np.asarray(table.column(c).combine_chunks()) for c in ("sid", "label", "block"))
     sets = table.column("s").combine_chunks()
@@ -177,9 +190,6 @@ def jaccard_components(held: DataFrame, every: DataFrame, least: float) -> DataF
     Groups whose sets don't all hang on one and the same set after that are
     compared in full, in blocks; of groups with the same members, one is.
     """
-    from ..llm.common import materialize
-    from ..llm.components import components
-
     each = held.select("sid", F.explode("bands").alias("g"))
     groups = each.groupBy("g").agg(F.min("sid").alias("rep"), F.max("sid").alias("top")).where("rep < top").select("g", "rep")
     member = materialize(each.join(groups, "g").distinct(), "bands")
@@ -210,8 +220,6 @@ def minhash_dedup(docs: DataFrame, key: str, text: str, n: int = 5, bands: int =
     vectorised function: a hundred minima of an exploded column would read
     every shingle a hundred times.
     """
-    from ..llm.common import materialize, small_batches
-
     small_batches(docs.sparkSession)
     shingles = lambda x: shingle_hashes(x, n)
     held = materialize(_signed(docs, key, text, shingles, bands, rows), "signatures")
