@@ -78,14 +78,18 @@ def shingle_hashes(text: str | None, n: int = 5):
     """The distinct 64-bit hashes of a text's n-word shingles, sorted; fewer words make one shingle, none makes none."""
     import re
 
+    return hashed_shingles([w.encode() for w in re.findall(r"\w+", (text or "").lower())], n)
+
+
+def hashed_shingles(words: list[bytes], n: int):
+    """The distinct 64-bit hashes of the n-word shingles of these words, sorted."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
-    tokens = re.findall(r"\w+", (text or "").lower())
-    if not tokens:
+    if not words:
         return np.zeros(0, dtype=np.int64)
-    known = {w: xxh64_intdigest(w.encode()) for w in set(tokens)}
-    h = np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+    known = {w: xxh64_intdigest(w) for w in set(words)}
+    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
     size = min(n, len(h))
     total = np.full(len(h) - size + 1, size, dtype=np.uint64)
     for i in range(size):
@@ -98,14 +102,14 @@ def shingle_hashes(text: str | None, n: int = 5):
 SET_ODD = 0xD6E8FEB86659FD93
 
 
-def _set_number(s) -> int:
+def set_number(s) -> int:
     import numpy as np
 
     mixed = s.astype(np.uint64) * np.uint64(SET_ODD)
     return (mixed ^ (mixed >> np.uint64(31))).sum(dtype=np.uint64).astype(np.int64)
 
 
-def _sets(docs: DataFrame, text: str, shingles) -> DataFrame:
+def shingle_sets(docs: DataFrame, text: str, shingles) -> DataFrame:
     """(sid, s) of texts with shingles; computed again where needed, as sets take more room than texts."""
 
     def run(batches):
@@ -113,7 +117,7 @@ def _sets(docs: DataFrame, text: str, shingles) -> DataFrame:
 
         for batch in batches:
             own = [s for x in batch.column(0).to_pylist() if len(s := shingles(x))]
-            yield pa.RecordBatch.from_arrays([pa.array([_set_number(s) for s in own], pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["sid", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_number(s) for s in own], pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["sid", "s"])
 
     return docs.select(text).mapInArrow(run, "sid long, s array<long>")
 
@@ -138,7 +142,7 @@ def _signed(docs: DataFrame, key: str, text: str, shingles, bands: int, rows: in
                         part = s[at : at + 1024].astype(np.uint64)[:, None] * odd[None, :]
                         least_of = np.minimum(least_of, (part ^ (part >> np.uint64(29))).min(axis=0))
                     ids.append(i.as_py())
-                    sids.append(_set_number(s))
+                    sids.append(set_number(s))
                     signs.append(((least_of.reshape(bands, rows) * odd[:rows]).sum(axis=1) + place).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(sids, pa.int64()), pa.array(signs, pa.list_(pa.int64()))], names=["id", "sid", "bands"])
 
@@ -183,14 +187,13 @@ def _block_links(key, table, least: float):
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
-def jaccard_components(held: DataFrame, every: DataFrame, least: float) -> DataFrame:
-    """(sid, root) of the sets of ``_signed`` (``every``: ``_sets`` of the same) that are alike through a chain of pairs, each sharing a band and verified exactly.
+def jaccard_components(each: DataFrame, every: DataFrame, least: float) -> DataFrame:
+    """(sid, root) of the sets that are alike through a chain of pairs, each of one group (``each``: sid, g) and verified exactly (``every``: sid, s).
 
-    First each set is verified against the smallest of its group in a band.
+    First each set is verified against the smallest of its group.
     Groups whose sets don't all hang on one and the same set after that are
     compared in full, in blocks; of groups with the same members, one is.
     """
-    each = held.select("sid", F.explode("bands").alias("g"))
     groups = each.groupBy("g").agg(F.min("sid").alias("rep"), F.max("sid").alias("top")).where("rep < top").select("g", "rep")
     member = materialize(each.join(groups, "g").distinct(), "bands")
     sets = materialize(every.join(member.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]), "sets")
@@ -223,7 +226,7 @@ def minhash_dedup(docs: DataFrame, key: str, text: str, n: int = 5, bands: int =
     small_batches(docs.sparkSession)
     shingles = lambda x: shingle_hashes(x, n)
     held = materialize(_signed(docs, key, text, shingles, bands, rows), "signatures")
-    roots = jaccard_components(held, _sets(docs, text, shingles), least)
+    roots = jaccard_components(held.select("sid", F.explode("bands").alias("g")), shingle_sets(docs, text, shingles), least)
     rooted = held.select("id", "sid").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("id").alias("kept_as")), "root").groupBy(F.col("id").alias("__id")).agg(F.min("kept_as").alias("kept_as"))
     return docs.select(F.col(key)).join(named, F.col(key) == F.col("__id"), "left").select(key, F.coalesce("kept_as", F.col(key)).alias("kept_as"))
