@@ -2,48 +2,39 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch; documents run to hundreds of kilobytes, so batches stay small.
-ARROW_ROWS = 512
+from ..sources.shared import ARROW_ROWS, materialize, release, shared_dir, small_batches  # noqa: F401
+
+#: Bytes of text in a block of documents, which a task holds whole, and the least that is worth a block of its own.
+BLOCK_BYTES, LEAST_BYTES = 16 << 20, 1 << 20
+#: Bytes of text to a message between blocks and buckets, at least: beyond BLOCK_BYTES ** 2 / MESSAGE_BYTES (256 GB) blocks grow
+#: as the square root of the input, so that messages, blocks times buckets, never outgrow it.
+MESSAGE_BYTES = 1 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of a Python worker: fewer rows in each Arrow batch."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; a temporary one only where none is set."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="millrace-")
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
+def session_parts(spark: SparkSession) -> int:
+    """The shuffle partitions that the session has."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def block_count(spark: SparkSession, n_bytes: int) -> int:
+    """How many blocks to deal ``n_bytes`` of text into: enough for BLOCK_BYTES each, and for all of the session's shuffle partitions where that leaves LEAST_BYTES each."""
+    needed = min(-(-n_bytes // BLOCK_BYTES), int((n_bytes / MESSAGE_BYTES) ** 0.5))
+    return max(1, needed, min(session_parts(spark), -(-n_bytes // LEAST_BYTES)))
 
 
-def block_count(spark: SparkSession) -> int:
-    """How many blocks of documents to deal out: as many as the session has shuffle partitions."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def fresh(df: DataFrame, name: str) -> str:
+    """A name like ``name`` that no column of ``df`` has, in any case."""
+    taken, n = {c.lower() for c in df.columns}, 0
+    while f"__{name}{n}" in taken:
+        n += 1
+    return f"__{name}{n}"
 
 
 def is_small(df: DataFrame, rows: int) -> bool:
@@ -93,3 +84,12 @@ def lean_cogroup(f):
 
     run.__name__ = f.__name__  # the plan names the step
     return run
+
+
+def labelled(labels: DataFrame, id_col: str, y, held_out, most: int, seed: int) -> DataFrame:
+    """(id as text, y) of about ``most`` distinct labels at most, drawn by a hash of the id: small enough to broadcast."""
+    known = labels.where(F.col(id_col).isNotNull() & ~held_out).select(F.col(id_col).cast("string").alias("id"), y.alias("y")).where("y is not null").distinct()
+    n = known.count()
+    if n > most:
+        known = known.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < F.lit(int((1 << 20) * most / n)))
+    return known

@@ -1,75 +1,3 @@
-"""Connected components of an edge list by alternating star contraction.
+"""Connected components: those of the library's graph operators, under the name that this subpackage uses."""
 
-No node's neighbours are ever gathered in one row: every step is a grouped
-minimum followed by an equi-join, so a hub costs a split join, not a huge task.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import materialize
-
-
-class Forest:
-    """Union-find over the links that one task sees: what it gives on is no more than its nodes."""
-
-    def __init__(self):
-        self.parent: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        parent, root = self.parent, x
-        while (up := parent.get(root, root)) != root:
-            root = up
-        while (up := parent.get(x, x)) != root:
-            parent[x] = root
-            x = up
-        return root
-
-    def link(self, a: int, b: int) -> None:
-        self.parent.setdefault(a, a)
-        self.parent.setdefault(b, b)
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-
-    def batch(self):
-        """(node, its root) for the nodes that aren't roots."""
-        import numpy as np
-        import pyarrow as pa
-
-        nodes = [x for x in self.parent if self.find(x) != x]
-        pairs = [np.array(x, dtype=np.int64) for x in (nodes, [self.find(x) for x in nodes])]
-        return pa.RecordBatch.from_arrays(list(map(pa.array, pairs)), names=["a", "b"])
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
-    moved = down.join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b: long) that isn't the smallest of its component.
-
-    Null ends and self-loops are ignored; an empty list gives an empty result.
-    Raises if ``max_rounds`` rounds don't suffice (they double the reach each).
-    """
-    edges = materialize(edges.where("a is not null and b is not null and a <> b").select("a", "b"), "edges")
-    for _ in range(max_rounds):
-        new = materialize(_small_star(_large_star(edges)), "stars")
-        # A set of edges (child, parent) is final once no parent is itself a child.
-        if new.select(F.col("b").alias("a")).join(new.select("a"), "a", "left_semi").limit(1).count() == 0:
-            # Stars: one more comparison makes sure that no child hangs on two roots.
-            if new.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() == 0:
-                return new.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        edges = new
-    raise RuntimeError("connected components did not converge")
+from ..operators.graph import Forest, components  # noqa: F401
