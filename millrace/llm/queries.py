@@ -45,7 +45,7 @@ def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     graded = toxicity.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return graded.select("doc_id", "held_out", "severity", (F.col("severity") >= 0.5).alias("toxic"))
+    return graded.select("doc_id", "held_out", "severity", (F.col("p_above") >= 0.5).alias("toxic"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,16 +4,20 @@ Features are the distinct words of a text and their beginnings, hashed into
 ``BUCKETS``. One weight vector serves all thresholds: the probability of a
 grade above k is the logistic of the text's score less threshold k, and
 thresholds keep their order by being sums of positive steps. The output is the
-expected grade. Weights are learned on the driver from at most
+expected grade. Labels of two grades only are spread to three (``spread``): of
+the upper ones, those with more features than the median that go with the
+upper grade at ``LEAST_Z`` standard errors are severe. Weights are learned on the driver from at most
 ``MAX_LABELLED`` labelled texts, drawn by hash, of which executors send only
 hashed features; those that go with the grade at less than ``LEAST_Z``
 standard errors, or occur in fewer than ``LEAST_TEXTS`` texts, weigh nothing, so
 a long text gathers no noise.
 
 Defined results: null and empty texts have no features and the grade of the
-thresholds alone; null grades aren't learned from; repeated rows each get the
-same answer; without two different grades every text gets the one there is (0
-without any).
+thresholds alone; null grades and null ids aren't learned from, nor are rows of
+``held_out``; of rows that repeat a labelled id one text is learned from (that
+of least features, by their bytes), and each gets its answer; without two
+different grades every text gets the one there is (0 without any); columns but
+for id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import labelled, small_batches
 from .decontaminate import NORMAL
 
 BUCKETS = 1 << 20
@@ -47,7 +51,7 @@ def features(text: str | None):
 class OrdinalModel:
     """P(grade > k) = logistic(score - threshold[k]), thresholds rising."""
 
-    def __init__(self, rows, grades, rounds: int = 600, shrink: float = 1e-4):
+    def __init__(self, rows, grades, rounds: int = 600, shrink: float = 1e-4, spread: bool = False):
         """``rows``: arrays of distinct features; ``grades``: any ordered numbers."""
         import numpy as np
 
@@ -67,6 +71,12 @@ class OrdinalModel:
         error = np.sqrt(np.maximum(texts * (1 - texts / n), 1e-9) * level.var())
         good = (texts >= LEAST_TEXTS) & (np.abs(total - texts * level.mean()) >= LEAST_Z * error)
         self.chosen = np.flatnonzero(good)
+        if spread and len(self.grades) == 2:
+            hits = np.bincount(row, weights=(good & (total > texts * level.mean()))[column], minlength=n)
+            severe = (level == 1) & (hits > np.median(hits[level == 1]))
+            if severe.any() and (level == 1).sum() > severe.sum():
+                level = level + severe
+                self.grades = np.append(self.grades, 2 * self.grades[1] - self.grades[0])
         keep = good[column]
         column, row = np.searchsorted(self.chosen, column[keep]), row[keep]
         k = len(self.grades) - 1
@@ -99,14 +109,19 @@ class OrdinalModel:
 
         return params[0] + np.concatenate(([0.0], np.cumsum(np.exp(params[1:]))))
 
+    def above(self, ids):
+        """The probabilities that a text with these features has a grade above the first, the second and so on."""
+        import numpy as np
+
+        return 1 / (1 + np.exp(-np.clip(float(self.weights[ids].sum()) - self.thresholds, -30, 30)))
+
     def expected(self, ids) -> float:
         """The expected grade of a text with these features."""
         import numpy as np
 
         if len(self.grades) < 2:
             return float(self.grades[0]) if len(self.grades) else 0.0
-        above = 1 / (1 + np.exp(-np.clip(float(self.weights[ids].sum()) - self.thresholds, -30, 30)))
-        return float(self.grades[0] + (np.diff(self.grades) * above).sum())
+        return float(self.grades[0] + (np.diff(self.grades) * self.above(ids)).sum())
 
 
 def held_out(id_col: str = "doc_id"):
@@ -114,37 +129,38 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> OrdinalModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "toxic", max_labelled: int = MAX_LABELLED, spread: bool = True) -> OrdinalModel:
     import numpy as np
 
     small_batches(docs.sparkSession)
-    known = labels.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("__id"), F.col(grade_col).cast("double").alias("y")).distinct()
-    n = known.count()
-    if n > max_labelled:
-        known = known.where(F.pmod(F.xxhash64("__id", F.lit(8)), F.lit(1 << 20)) < F.lit(int((1 << 20) * max_labelled / n)))
+    known = labelled(labels, id_col, F.col(grade_col).cast("double"), held_out(id_col), max_labelled, 8)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([features(x).astype(np.int32).tobytes() for x in batch.column(0).to_pylist()], pa.binary())], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(x).astype(np.int32).tobytes() for x in batch.column(2).to_pylist()], pa.binary())], names=["id", "y", "x"])
 
-    sample = docs.join(known, F.col(id_col) == F.col("__id")).select(F.col(text_col).alias("t"), "y").mapInArrow(run, "y double, x binary")
-    rows = sorted((r["y"], bytes(r["x"])) for r in sample.limit(2 * max_labelled).toLocalIterator())
-    return OrdinalModel([np.frombuffer(x, dtype=np.int32) for _, x in rows], [y for y, _ in rows])
+    texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"))
+    found = texts.join(F.broadcast(known), "id").select("id", "y", "t").mapInArrow(run, "id string, y double, x binary")
+    rows = sorted((r["y"], bytes(r["x"])) for r in found.groupBy("id", "y").agg(F.min("x").alias("x")).toLocalIterator())
+    return OrdinalModel([np.frombuffer(x, dtype=np.int32) for _, x in rows], [y for y, _ in rows], spread=spread)
 
 
-def grade(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """(doc_id, held_out, severity) for every row of ``docs``: the expected grade of the whole text."""
-    model = fit(docs, labels, id_col, text_col, grade_col, max_labelled)
+def grade(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "toxic", max_labelled: int = MAX_LABELLED, spread: bool = True) -> DataFrame:
+    """(doc_id, held_out, severity, p_above) for every row of ``docs``: the whole text's expected grade, and the probability of any but the least."""
+    model = fit(docs, labels, id_col, text_col, grade_col, max_labelled, spread)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         import pyarrow as pa
 
+        model = held.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([held.value.expected(features(x)) for x in batch.column(2).to_pylist()], pa.float64())], names=["doc_id", "held_out", "severity"])
+            ids = [features(x) for x in batch.column(2).to_pylist()]
+            above = [float(model.above(x)[0]) if len(model.thresholds) else 0.0 for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([model.expected(x) for x in ids], pa.float64()), pa.array(above, pa.float64())], names=["doc_id", "held_out", "severity", "p_above"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, severity double")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, severity double, p_above double")
