@@ -12,8 +12,10 @@ its probabilities. Text is the only input.
 
 Defined results: null and empty texts are scored like any other, from a zero
 vector; unlabelled, null-labelled and repeated documents are scored; a
-document whose rows in the labels disagree is learned once for each; without
-labels of both kinds every score is the share of label 1 (0.5 without any).
+document whose rows in the labels disagree is learned once for each; of rows
+that repeat a labelled id one text is learned from (that whose vector's bytes
+are least); without labels of both kinds every score is the share of label 1
+(0.5 without any); other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, utf8
+from .common import labelled, small_batches, utf8
 
 SLOTS, DIMS, NONZERO, WINDOW = 1 << 15, 32, 2, 2
 SHARDS = 16
@@ -195,11 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors, id_col: str = "doc_id", tex
     """The network, learned from labelled documents that aren't held out."""
     import numpy as np
 
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y")).distinct()
-    n = known.count()
-    if n > max_labelled:
-        part = F.pmod(F.xxhash64("__id", F.lit(9)), F.lit(1 << 20)) < F.lit(int((1 << 20) * max_labelled / n))
-        known = known.where(part)
+    known = labelled(labels, id_col, F.col(label_col).cast("int"), held_out(id_col), max_labelled, 9)
     held = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def pool(batches):
@@ -209,10 +207,11 @@ def fit(docs: DataFrame, labels: DataFrame, vectors, id_col: str = "doc_id", tex
 
         find = re.compile(TOKEN).findall
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([pooled(slots(x, find), held.value).tobytes() for x in batch.column(0).to_pylist()], pa.binary())], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pooled(slots(x, find), held.value).tobytes() for x in batch.column(2).to_pylist()], pa.binary())], names=["id", "y", "x"])
 
-    sample = docs.join(known, F.col(id_col) == F.col("__id")).select(utf8(text_col).alias("b"), "y").mapInArrow(pool, "y int, x binary")
-    rows = sorted((r["y"], bytes(r["x"])) for r in sample.limit(2 * max_labelled).collect())
+    texts = docs.select(F.col(id_col).cast("string").alias("id"), utf8(text_col).alias("b"))
+    found = texts.join(F.broadcast(known), "id").select("id", "y", "b").mapInArrow(pool, "id string, y int, x binary")
+    rows = sorted((r["y"], bytes(r["x"])) for r in found.groupBy("id", "y").agg(F.min("x").alias("x")).toLocalIterator())
     x = np.frombuffer(b"".join(r[1] for r in rows), dtype=np.float32).reshape(len(rows), POOLED).astype(np.float64)
     return Network(x, np.array([r[0] > 0 for r in rows], dtype=np.float64))
 
