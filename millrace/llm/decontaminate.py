@@ -6,22 +6,26 @@ automaton's state and length give the longest run of words, ending there, that
 occurs in some item. Wherever that length reaches the window (or the whole of
 a shorter item), the window's words are hit, and the state names the items.
 
-The benchmark is broadcast in shards of at most ``SHARD_WORDS`` words, one
-pass over the documents for each shard, so what a worker holds is bounded
+The benchmark is cut into shards of at most ``SHARD_WORDS`` words (an item is
+never cut). Each shard is one automaton, built and broadcast alone, and one
+pass over the documents, whose findings so far are written to the shared
+folder between passes; so the driver and a worker hold one shard at a time,
 however large the benchmark grows.
 
 Defined results: a null or wordless document has no hits; null and wordless
 items are no windows; an item with a null id can hit but isn't listed;
 repeated items with one id are listed once; repeated documents keep their
-rows; an empty benchmark hits nothing.
+rows; an empty benchmark hits nothing; other columns, whatever their names, are
+ignored by ``contamination`` and carried along by ``decontaminate``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import small_batches, utf8
+from .common import fresh, materialize, release, small_batches, utf8
 
 WINDOW = 10
 #: Words of the benchmark in one broadcast automaton (about 200 bytes each in memory).
@@ -163,20 +167,20 @@ class SuffixAutomaton:
         return hits, found
 
 
-def _shards(bench: DataFrame, id_col: str, text_col: str, window: int, shard_words: int):
-    """Automata over the benchmark, none with more than ``shard_words`` words (one item at least)."""
+def _shards(bench: DataFrame, id_col: str, text_col: str, shard_words: int):
+    """Lists of (id, words) of items, none with more than ``shard_words`` words (one item at least)."""
     rows = bench.select(F.col(id_col).cast("string").alias("k"), utf8(text_col).alias("b")).distinct()
     held, words = [], 0
     for row in rows.toLocalIterator():
         w = normal_words(bytes(row["b"]))
         if held and words + len(w) > shard_words:
-            yield SuffixAutomaton(held, window)
+            yield held
             held, words = [], 0
         if w:
             held.append((row["k"], w))
             words += len(w)
     if held:
-        yield SuffixAutomaton(held, window)
+        yield held
 
 
 def _union(ranges):
@@ -189,33 +193,70 @@ def _union(ranges):
     return out
 
 
+SPANS = "array<struct<start: bigint, end: bigint>>"
+
+
+def _passes(rows: DataFrame, text_col: str, bench: DataFrame, item_col: str, window: int, shard_words: int, finish, schema) -> DataFrame:
+    """``rows`` through the automaton of each shard, one pass each; ``finish(batch, texts, found)`` makes the last pass's output.
+
+    ``texts`` are the whole texts as bytes, ``found`` the hit ranges of words and the set of items of each.
+    """
+    spark = rows.sparkSession
+    small_batches(spark)
+    names = [fresh(rows, "spans"), fresh(rows, "items")]
+    width, at = len(rows.columns), rows.columns.index(text_col)
+    between = StructType([*rows.schema.fields, *StructType.fromDDL(f"{names[0]} {SPANS}, {names[1]} array<string>").fields])
+
+    def one(held, first, last):
+        def run(batches):
+            import pyarrow as pa
+
+            automaton = held.value
+            for batch in batches:
+                texts = [x.encode() if isinstance(x, str) else x or b"" for x in batch.column(at).to_pylist()]
+                before = [([], [])] * len(texts) if first else [([(x["start"], x["end"]) for x in a], b) for a, b in zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist(), strict=True)]
+                found = []
+                for data, (spans, items) in zip(texts, before, strict=True):
+                    more, names_here = automaton.match(normal_words(data)) if automaton else ([], set())
+                    found.append((_union(spans + more), set(items) | names_here))
+                kept = pa.RecordBatch.from_arrays(batch.columns[:width], names=batch.schema.names[:width])
+                if last:
+                    yield finish(kept, texts, found)
+                else:
+                    spans = pa.array([[{"start": a, "end": b} for a, b in x] for x, _ in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+                    items = pa.array([sorted(y, key=lambda k: (k is None, k or "")) for _, y in found], pa.list_(pa.string()))
+                    yield pa.RecordBatch.from_arrays([*kept.columns, spans, items], names=[*kept.schema.names, *names])
+
+        return run
+
+    shards = _shards(bench, item_col, "text", shard_words)
+    now, state, first = next(shards, None), rows, True
+    while (following := next(shards, None)) is not None:
+        held = spark.sparkContext.broadcast(SuffixAutomaton(now, window))
+        done = materialize(state.mapInArrow(one(held, first, False), between), "hits")
+        held.destroy()
+        release(state)
+        now, state, first = following, done, False
+    return state.mapInArrow(one(spark.sparkContext.broadcast(SuffixAutomaton(now, window) if now else None), first, True), schema)
+
+
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Per row: doc_id, n_words, n_hit long, items array<string>, spans array<struct<start, end>> in words."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    held = [spark.sparkContext.broadcast(x) for x in _shards(bench, item_col, "text", window, shard_words)]
 
-    def run(batches):
+    def digest(batch, texts, found):
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
-            out = {"n_words": [], "n_hit": [], "items": [], "spans": []}
-            for data in batch.column(1).to_pylist():
-                words, spans, items = normal_words(data), [], set()
-                for x in held:
-                    more, names = x.value.match(words)
-                    spans, items = spans + more, items | names
-                spans = _union(spans)
-                out["n_words"].append(len(words))
-                out["n_hit"].append(sum(b - a for a, b in spans))
-                out["items"].append(sorted(x for x in items if x is not None))
-                out["spans"].append([{"start": a, "end": b} for a, b in spans])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out["n_words"], pa.int64()), pa.array(out["n_hit"], pa.int64()), pa.array(out["items"], pa.list_(pa.string())), pa.array(out["spans"], kind)], names=["doc_id", *out])
+        out = {
+            "n_words": pa.array([len(normal_words(x)) for x in texts], pa.int64()),
+            "n_hit": pa.array([sum(b - a for a, b in spans) for spans, _ in found], pa.int64()),
+            "items": pa.array([sorted(x for x in items if x is not None) for _, items in found], pa.list_(pa.string())),
+            "spans": pa.array([[{"start": a, "end": b} for a, b in spans] for spans, _ in found], kind),
+        }
+        return pa.RecordBatch.from_arrays([batch.column(0), *out.values()], names=["doc_id", *out])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("b"))
-    kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>")
+    return _passes(rows, "b", bench, item_col, window, shard_words, digest, f"doc_id {dict(rows.dtypes)['doc_id']}, n_words long, n_hit long, items array<string>, spans {SPANS}")
 
 
 def remove_spans(data: bytes, spans) -> bytes:
@@ -237,33 +278,24 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
     Untouched documents keep their text byte for byte; a null text stays null.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    held = [spark.sparkContext.broadcast(x) for x in _shards(bench, item_col, "text", window, shard_words)]
     at = docs.columns.index(text_col)
 
-    def run(batches):
+    def cut(batch, texts, found):
         import pyarrow as pa
 
-        for batch in batches:
-            keep, texts = [], []
-            for row, text in enumerate(batch.column(at).to_pylist()):
-                if text is not None:
-                    data = text.encode()
-                    words = normal_words(data)
-                    spans = _union([s for x in held for s in x.value.match(words)[0]])
-                    if sum(b - a for a, b in spans) > max_coverage * len(words):
-                        continue
-                    if spans:
-                        text = remove_spans(data, spans).decode()
-                keep.append(row)
-                texts.append(text)
-            kept = batch.take(pa.array(keep, pa.int64()))
-            columns = kept.columns
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-    return docs.mapInArrow(run, docs.schema)
+        keep, out = [], []
+        for row, (text, data, (spans, _)) in enumerate(zip(batch.column(at).to_pylist(), texts, found, strict=True)):
+            if spans:
+                if sum(b - a for a, b in spans) > max_coverage * len(normal_words(data)):
+                    continue
+                text = remove_spans(data, spans).decode()
+            keep.append(row)
+            out.append(text)
+        columns = batch.take(pa.array(keep, pa.int64())).columns
+        columns[at] = pa.array(out, batch.schema.field(at).type)
+        return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return _passes(docs, text_col, bench, item_col, window, shard_words, cut, docs.schema)
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
