@@ -5,24 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, mixing, quality, suffix
-from millrace.llm.common import materialize, small_batches, table, utf8
-from millrace.operators import dedup
+from millrace.llm import decontaminate, mixing, quality, simhash, suffix
+from millrace.llm.common import materialize, table
 
 #: Documents that the quality classifier scores below this go.
 LEAST_QUALITY = 0.5
-#: Near copies: the least Jaccard similarity over shingles of so many words, and the bands of minima (a pair of just 0.8 shares none with odds of 1 in 8 million).
-NEAR, NEAR_SHINGLE, NEAR_BANDS, NEAR_ROWS = 0.8, 5, 40, 5
-
-
-def word_shingles(data: bytes, n: int):
-    """The distinct 64-bit hashes of a text's n-word shingles, split and lower-cased as in ``simhash``; fewer words make one."""
-    import numpy as np
-    from xxhash import xxh64_intdigest
-
-    words = data.lower().split()
-    grams = {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
-    return np.unique(np.array([xxh64_intdigest(g) for g in grams], dtype=np.uint64).view(np.int64))
 
 
 def _lengths(docs: DataFrame) -> DataFrame:
@@ -37,21 +24,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return scored.where(F.col("__score") >= LEAST_QUALITY).select(*docs.columns)
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: the smallest id of those that chains of pairs of NEAR or more connect.
-
-    Candidates share one of NEAR_BANDS bands of minima; each is verified by the exact similarity of its shingle sets.
-    Rows that repeat an id count as one document; rows without an id all stay.
-    """
-    small_batches(spark)
-    shingles = lambda x: word_shingles(x, NEAR_SHINGLE)
-    texts = docs.select("doc_id", utf8().alias("b"))
-    held = materialize(dedup._signed(texts, "doc_id", "b", shingles, NEAR_BANDS, NEAR_ROWS), "signatures")
-    roots = dedup.jaccard_components(held, dedup._sets(texts, "b", shingles), NEAR)
-    least = held.groupBy("sid").agg(F.min("id").alias("least")).join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    kept = least.groupBy("root").agg(F.min("least").alias("__keep")).select("__keep")
-    found = docs.join(kept, F.col("doc_id") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
-    return found.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each class of near copies (five-word shingles, similarity 0.8 or more); rows without an id all stay."""
+    return simhash.near_dedup(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +46,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("quality classifier", quality_classifier),
-    ("near-dedup", near_dedup),
+    ("simhash near-dedup", simhash_near_dedup),
     ("suffix-array dedup", suffix_array_dedup),
     ("benchmark decontamination", benchmark_decontamination),
     ("mixing to target weights", source_mixing),
