@@ -10,10 +10,15 @@ gives the same records. Records come and go as raw bytes, one a row;
 ``split_records`` and ``read_warc`` cut files (plain or gzip members) into
 rows and ``gzip_member`` packs a row for a file.
 
+Pages are read in time proportional to their length, however broken: a tag
+ends at the next ``>``, what is opened and never closed is searched for once.
+
 Defined results: null html is an empty payload; a null or empty url leaves the
 target header out; records that aren't responses, or can't be parsed, give no
 derivatives and one row of type ``error`` that says why; repeated records give
-repeated rows; other columns are carried along.
+repeated rows; an empty table gives none; whole texts are converted, however
+long; other columns are carried along, but for those named as in ``OUT``,
+which the results replace.
 """
 
 from __future__ import annotations
@@ -33,18 +38,22 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
+CHUNK = 1 << 20
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
 TYPES = {"metadata": "application/json", "conversion": "text/plain"}
 OUT = "record_type string, record_id string, refers_to string, target_uri string, record_date string, block_digest string, payload_digest string, content_length long, record binary, error string"
 
-DROPPED = re.compile(r"(?is)<!--.*?-->|<(script|style|head|noscript|template|svg)\b.*?</\1\s*>|<![^>]*>")
+HIDDEN = re.compile(r"(?i)<!--|<(script|style|head|noscript|template|svg)\b|<!")
+CLOSED = {t: re.compile(rf"(?i)</{t}\s*>") for t in ("script", "style", "head", "noscript", "template", "svg")}
 BREAKS = re.compile(r"(?i)</?(?:address|article|aside|blockquote|br|center|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b[^>]*>")
 TAGS = re.compile(r"</?[A-Za-z][^>]*>")
 BLANKS = re.compile(r"[ \t\r\f\v ]+")
 LINES = re.compile(r" ?\n[ \n]*")
-TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
-LINK = re.compile(r"""(?is)<(a|area|link|img|script|iframe|source|form)\b[^>]*?\s(href|src|action)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
-CHARSET = re.compile(rb"""(?i)<meta\b[^>]*?charset\s*=\s*["']?([A-Za-z0-9_:.-]+)""")
+TITLE, TITLE_END = re.compile(r"(?i)<title\b[^>]*>"), re.compile(r"(?i)</title\s*>")
+LINKED = re.compile(r"(?i)<(a|area|link|img|script|iframe|source|form)\b[^>]*>")
+ADDRESS = re.compile(r"""(?i)\s(?:href|src|action)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+META = re.compile(rb"(?i)<meta\b[^>]*>")
+CHARSET = re.compile(rb"""(?i)charset\s*=\s*["']?([A-Za-z0-9_:.-]+)""")
 
 
 def digest(data: bytes) -> str:
@@ -80,24 +89,48 @@ def parse_record(data: bytes) -> tuple[list[tuple[str, str]], bytes]:
     return headers, rest[: int(length)]
 
 
-def split_records(data: bytes):
-    """The raw records of a file, plain or in gzip members."""
-    if data[:2] == b"\x1f\x8b":
-        plain, rest = [], data
-        while rest:
+def _inflated(data: bytes):
+    """The contents of gzip members, piece by piece."""
+    rest = memoryview(data)
+    member = zlib.decompressobj(31)
+    while len(rest):
+        piece, rest = rest[:CHUNK], rest[CHUNK:]
+        while len(piece):
+            yield member.decompress(piece)
+            if not member.eof:
+                break
+            yield member.flush()
+            piece = memoryview(member.unused_data)
             member = zlib.decompressobj(31)
-            plain.append(member.decompress(rest) + member.flush())
-            rest = member.unused_data
-        data = b"".join(plain)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        length = next((v for k, v in _headers(data[at:end]) if k.lower() == "content-length"), "0")
-        stop = end + 4 + (int(length) if length.isdigit() else 0)
-        yield data[at:stop] + b"\r\n\r\n"
-        at = stop
+
+
+def split_records(data: bytes):
+    """The raw records of a file, plain or in gzip members; of these no more is held than a record and a piece."""
+    held, ended = b"", False
+    pieces = _inflated(data) if data[:2] == b"\x1f\x8b" else iter([data])
+    want = 0  # bytes that make it worth looking again
+    while not ended:
+        parts, size = [held], len(held)
+        while size <= want and not ended:
+            piece = next(pieces, None)
+            ended = piece is None
+            parts.append(piece or b"")
+            size += len(parts[-1])
+        held, at, want = b"".join(parts), 0, 0
+        while (start := held.find(b"WARC/", at)) >= 0:
+            end = held.find(b"\r\n\r\n", start)
+            if end < 0:
+                at = start
+                break
+            length = next((v for k, v in _headers(held[start:end]) if k.lower() == "content-length"), "0")
+            stop = end + 4 + (int(length) if length.isdigit() else 0)
+            if stop > len(held) and not ended:
+                at, want = start, stop - start
+                break
+            yield held[start:stop] + b"\r\n\r\n"
+            at = stop
+        held = held[at:]
+        want = max(want, len(held))
 
 
 def gzip_member(record: bytes) -> bytes:
@@ -116,8 +149,8 @@ def response_record(url: str | None, html: str | None, date: str) -> bytes:
 def decode(payload: bytes, content_type: str) -> tuple[str, str]:
     """The payload as text and the charset used: the header's, the page's own, or UTF-8 and else Latin-1."""
     named = re.search(r"charset=[\"']?([A-Za-z0-9_:.-]+)", content_type, re.I)
-    own = CHARSET.search(payload)
-    for name in [named and named[1], own and own[1].decode(), "utf-8"]:
+    own = next((c[1].decode() for m in META.finditer(payload[: payload.rfind(b">") + 1]) if (c := CHARSET.search(m[0]))), None)
+    for name in [named and named[1], own, "utf-8"]:
         if name:
             try:
                 return payload.decode(name), name.lower()
@@ -126,13 +159,61 @@ def decode(payload: bytes, content_type: str) -> tuple[str, str]:
     return payload.decode("latin-1"), "latin-1"
 
 
+def _shown(page: str) -> str:
+    """The page without comments, declarations and elements that aren't shown, a blank for each."""
+    out, at, pos, open_ = [], 0, 0, set()
+    while m := HIDDEN.search(page, pos):
+        kind, stop = (m[1] or m[0]).lower(), -1
+        if kind == "<!--":
+            if kind not in open_ and (end := page.find("-->", m.end())) >= 0:
+                stop = end + 3
+            else:
+                open_.add(kind)
+                kind = "<!"
+        if kind == "<!":
+            if kind not in open_ and (end := page.find(">", m.end())) >= 0:
+                stop = end + 1
+        elif stop < 0 and kind not in open_ and (close := CLOSED[kind].search(page, m.end())):
+            stop = close.end()
+        if stop < 0:
+            open_.add(kind)
+            pos = m.end()
+            continue
+        out.append(page[at : m.start()])
+        at = pos = stop
+    return " ".join([*out, page[at:]])
+
+
 def plain_text(page: str) -> str:
     """The visible text: blocks on lines of their own, white space collapsed, character references resolved."""
-    page = DROPPED.sub(" ", page)
-    page = TAGS.sub("", BREAKS.sub("\n", page.replace("\n", " ")))
+    page = _shown(page).replace("\n", " ")
+    tags = page.rfind(">") + 1
+    page = TAGS.sub("", BREAKS.sub("\n", page[:tags])) + page[tags:]
     return LINES.sub("\n", BLANKS.sub(" ", entities.unescape(page))).strip()
 
 
+def _title(page: str) -> str | None:
+    end = TITLE_END.search(page)
+    if not end:
+        return None
+    start = TITLE.search(page[: end.start()])
+    return BLANKS.sub(" ", entities.unescape(page[start.end() : end.start()])).strip() if start else None
+
+
+def _page_links(page: str, target: str) -> list[dict]:
+    links = []
+    for m in LINKED.finditer(page[: page.rfind(">") + 1]):
+        found = ADDRESS.search(m[0])
+        url = entities.unescape(next((x for x in found.groups() if x is not None), "")).strip() if found else ""
+        if url and not url.startswith("#"):
+            try:
+                url = urljoin(target, url)
+            except ValueError:
+                pass
+            links.append({"tag": m[1].lower(), "url": url})
+    return links
+
+
 def derivatives(record: bytes) -> list[tuple[str, str, str, list[tuple[str, str]], bytes]]:
     """(type, record id, refers to, headers, block) of the metadata and the conversion of one response record."""
     headers, block = parse_record(record)
@@ -147,23 +228,13 @@ def derivatives(record: bytes) -> list[tuple[str, str, str, list[tuple[str, str]
     http = _headers(lines)
     page, charset = decode(payload, next((v for k, v in http if k.lower() == "content-type"), ""))
     target = named.get("warc-target-uri", "")
-    links = []
-    for m in LINK.finditer(page):
-        url = entities.unescape(next(x for x in (m[3], m[4], m[5], "") if x is not None)).strip()
-        if url and not url.startswith("#"):
-            try:
-                url = urljoin(target, url)
-            except ValueError:
-                pass
-            links.append({"tag": m[1].lower(), "url": url})
-    title = TITLE.search(page)
     ids = {kind: f"<urn:uuid:{uuid.uuid5(SPACE, f'{source} {kind}')}>" for kind in TYPES}
     payload_digest = named.get("warc-payload-digest") or digest(payload)
     envelope = {
         "warc": [list(x) for x in headers],
         "http": {"status": status.decode(errors="replace"), "headers": [list(x) for x in http]},
         "payload": {"digest": payload_digest, "computed_digest": digest(payload), "length": len(payload), "charset": charset},
-        "html": {"title": BLANKS.sub(" ", entities.unescape(title[1])).strip() if title else None, "links": links},
+        "html": {"title": _title(page), "links": _page_links(page, target)},
         "conversion": ids["conversion"],
     }
     blocks = {"metadata": json.dumps(envelope, ensure_ascii=False).encode(errors="replace"), "conversion": plain_text(page).encode(errors="replace")}
