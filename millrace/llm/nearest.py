@@ -11,11 +11,14 @@ best true distance that the chi-square test holds with confidence ``sure``.
 A query first searches its own cell; the bound found there names, by the same
 test, the other cells that it must visit.
 
-Every row is indexed; only the cell boundaries come from a sample. Of rows
-with one and the same vector, the k + 1 smallest ids are indexed: further ones
-can't be among any query's k nearest, ties going to smaller ids.
-
-Defined results: vectors that are null, empty, zero or hold a null, NaN or
+Every row is indexed; only the cell boundaries come from a sample (vectors of a
+length that the sample misses share one cell). Cells are numbered so that each
+falls into a partition of its own. Of rows with one and the same vector, the
+k + 1 smallest ids are indexed: further ones can't be among any query's k
+nearest, ties going to smaller ids.
+
+Defined results: ids are integers; columns but for id and vector are ignored,
+whatever their names, except by the condition for queries; vectors that are null, empty, zero or hold a null, NaN or
 infinite component take no part, nor do null ids; vectors are compared with
 those of their own length only; rows that repeat an id and a vector count once;
 a query has fewer than k rows where there are fewer candidates, and none where
@@ -27,13 +30,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import block_count
+from .common import session_parts
 
 DIMS = 8
 SURE = 0.98
 #: Rows from which the cells' boundaries are taken.
 SAMPLE_ROWS = 20_000
 LEAF = 64
+#: Rows of a cell, which a task holds whole, and the fewest that are worth a cell of their own.
+CELL_ROWS, LEAST_ROWS = 100_000, 500
 
 
 def chi_square_quantile(p: float, dims: int) -> float:
@@ -138,12 +143,15 @@ def search(tree: Tree, ids, unit, norms, query_id, query, at, k: int, limit: flo
 class Cells:
     """Cuts of the projected space for each vector length: who belongs where, and how far a point is from each cell."""
 
-    def __init__(self, samples: dict, cells: int):
-        self.boxes, self.first, self.total = {}, {}, 0
+    def __init__(self, samples: dict, cells: int, numbers: list[int]):
+        import numpy as np
+
+        self.boxes, self.numbers, at = {}, {}, 0
         for length, points in sorted(samples.items()):
-            self.first[length] = self.total
             self.boxes[length] = self._cut(points, max(1, cells))
-            self.total += len(self.boxes[length][0])
+            more = len(self.boxes[length][0])
+            self.numbers[length] = np.array([numbers[i % len(numbers)] + (i // len(numbers)) * (max(numbers) + 1) for i in range(at, at + more)], dtype=np.int64)
+            at += more
 
     @staticmethod
     def _cut(points, cells):
@@ -172,25 +180,34 @@ class Cells:
         """The cell of each point: boxes are half open, so there is exactly one."""
         import numpy as np
 
+        if length not in self.boxes:
+            return np.full(len(points), -1 - length, dtype=np.int64)
         low, high = self.boxes[length]
         out = np.zeros(len(points), dtype=np.int64)
         for c in range(len(low)):
             out[((points >= low[c]) & (points < high[c])).all(axis=1)] = c
-        return out + self.first[length]
+        return self.numbers[length][out]
 
     def within(self, length: int, point, reach: float):
         """Cells whose nearest point lies within the squared distance ``reach``."""
         import numpy as np
 
+        if length not in self.boxes:
+            return [-1 - length]
         low, high = self.boxes[length]
         gap = np.maximum(low - point, 0) + np.maximum(point - high, 0)
-        return (np.flatnonzero((gap * gap).sum(axis=1) <= reach * (1 + 1e-9) + 1e-12) + self.first[length]).tolist()
+        return self.numbers[length][(gap * gap).sum(axis=1) <= reach * (1 + 1e-9) + 1e-12].tolist()
+
+
+def _spread(spark, parts: int) -> list[int]:
+    """A number for each of ``parts`` hash partitions: Spark deals it there."""
+    found = spark.range(16 * parts + 64).select(F.col("id").cast("int").alias("x")).groupBy(F.pmod(F.hash("x"), F.lit(parts)).alias("p")).agg(F.min("x").alias("x")).collect()
+    return [r["x"] for r in sorted(found, key=lambda r: r["p"])]
 
 
 def nearest(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", dims: int = DIMS, sure: float = SURE, cells: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where ``is_query`` holds, its k nearest others found."""
     spark = rows.sparkSession
-    cells = cells or block_count(spark)
     limit = chi_square_quantile(sure, dims)
     value = F.col("v")
     whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
@@ -212,6 +229,7 @@ def nearest(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vecto
             yield n, own, values[offsets[own][:, None] + np.arange(n)]
 
     n = clean.count()
+    cells = cells or max(1, -(-n // CELL_ROWS), min(session_parts(spark), -(-n // LEAST_ROWS)))
 
     def projected(batches):
         import pyarrow as pa
@@ -222,13 +240,12 @@ def nearest(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vecto
                 yield pa.RecordBatch.from_arrays([pa.array([n] * len(p), pa.int32()), pa.array([x.tobytes() for x in p], pa.binary())], names=["n", "p"])
 
     sample = clean.select("v") if n <= SAMPLE_ROWS else clean.select("v").sample(fraction=SAMPLE_ROWS / n, seed=1)
-    # Lengths that the sample misses have one cell, so they are asked for.
-    drawn: dict = {int(r["n"]): [] for r in clean.select(F.size("v").alias("n")).distinct().limit(10_000).collect()}
     import numpy as np
 
-    for r in sample.mapInArrow(projected, "n int, p binary").limit(2 * SAMPLE_ROWS).collect():
-        drawn[int(r["n"])].append(np.frombuffer(bytes(r["p"])))
-    cut = Cells({n: np.array(p).reshape(-1, dims) for n, p in drawn.items()}, cells)
+    drawn: dict = {}
+    for r in sample.mapInArrow(projected, "n int, p binary").collect():
+        drawn.setdefault(int(r["n"]), []).append(np.frombuffer(bytes(r["p"])))
+    cut = Cells({n: np.array(p).reshape(-1, dims) for n, p in drawn.items()}, cells, _spread(spark, cells))
 
     def place(batches):
         import pyarrow as pa
