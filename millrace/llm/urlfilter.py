@@ -13,10 +13,15 @@ broadcast while they are at most ``BROADCAST_INTERVALS``, or else by a shuffle
 join, which Spark can split where a host is hot. Entries of one list and
 pattern at the same time: ``remove`` wins.
 
+Hosts are compared without a final dot, in lower case; an IPv6 host keeps its
+brackets. The intervals of one key travel with each of its captures as an
+array: a key's log is meant to be short (100,000 entries take 4 MB).
+
 Defined results: a null or unparsable url and a null fetch time match nothing
 and stay with 0 active entries; entries with a null list, kind, pattern,
-action or time are left out; repeated captures each get their row; extra
-columns are carried along.
+action or time are left out; repeated captures each get their row; urls are
+read whole, however long; other columns are carried along, whatever their
+names, but for those named as the results, which these replace.
 """
 
 from __future__ import annotations
@@ -29,13 +34,14 @@ from .common import materialize
 #: Intervals (about 100 bytes each) up to which a side is broadcast.
 BROADCAST_INTERVALS = 100_000
 
-URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^#]*)"
+URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)(?::[0-9]*)?([^#]*)"
+RESULTS = ["host", "n_active", "lists", "blocked"]
 
 
 def url_keys(captures: DataFrame, url_col: str = "url") -> DataFrame:
     """Adds host, prefix_key and url_key; null where the url doesn't parse."""
     part = lambda i: F.regexp_extract(F.col(url_col), URL, i)
-    host = F.lower(F.nullif(part(1), F.lit("")))
+    host = F.nullif(F.rtrim(F.lower(part(1)), F.lit(".")), F.lit(""))
     path = F.when(part(2) == "", "/").otherwise(part(2))
     first = F.regexp_extract(path, "^/([^/?]*)", 1)
     return captures.withColumns({"host": host, "prefix_key": F.concat(host, F.lit("/"), first), "url_key": F.concat(host, path)})
@@ -67,9 +73,11 @@ def _with(captures: DataFrame, rules: DataFrame, key: str) -> DataFrame:
 
 def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", at_col: str = "fetched_at") -> DataFrame:
     """``captures`` with host, n_active (entries in force at the fetch), lists (their names, sorted, comma-joined) and blocked."""
-    kept = captures.columns
+    kept = [c for c in captures.columns if c not in RESULTS]
     listed = materialize(intervals(entries), "intervals")
-    keyed = url_keys(captures, url_col)
+    # The capture goes along as one column, so no name of its own meets those made here.
+    rows = captures.select(F.struct("*").alias("row"), F.col(url_col).alias("url"), F.col(at_col).alias("at"))
+    keyed = url_keys(rows)
     hosts = keyed.where("host is not null").select("host").distinct()
     labels = F.split("host", r"\.")
     above = hosts.select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("pattern"))
@@ -78,10 +86,10 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", a
         joined = _with(joined, _packed(listed.where(F.col("kind") == kind).withColumn(key, F.col("pattern")), key), key)
     none = F.array().cast("array<struct<list:string,pattern:string,valid_from:timestamp,valid_to:timestamp>>")
     every = F.concat(*[F.coalesce(F.col(c), none) for c in ("by_host", "by_prefix_key", "by_url_key")])
-    at = F.col(at_col)
+    at = F.col("at")
     active = F.filter(every, lambda x: (x["valid_from"] <= at) & (x["valid_to"].isNull() | (at < x["valid_to"])))
-    out = joined.withColumn("__active", active)
-    return out.select(*kept, *[c for c in ["host"] if c not in kept], F.size("__active").cast("long").alias("n_active"), F.array_join(F.array_sort(F.array_distinct(F.transform("__active", lambda x: x["list"]))), ",").alias("lists"), (F.size("__active") > 0).alias("blocked"))
+    out = joined.withColumn("active", active)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in kept], "host", F.size("active").cast("long").alias("n_active"), F.array_join(F.array_sort(F.array_distinct(F.transform("active", lambda x: x["list"]))), ",").alias("lists"), (F.size("active") > 0).alias("blocked"))
 
 
 def fetch_time():
@@ -115,8 +123,8 @@ def feed_from(pages: DataFrame) -> DataFrame:
 FEED_SQL = r"""
 with parsed as (
   select page_id, url, timestamp '2024-01-01 12:00:00' + ((page_id % 366 + 366) % 366)::int * interval 1 day as fetched_at,
-         nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^#]*)', 1)), '') as host,
-         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^#]*)', 2) as rest
+         nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)(?::[0-9]*)?([^#]*)', 1)), '.'), '') as host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)(?::[0-9]*)?([^#]*)', 2) as rest
   from pages),
 keyed as (
   select *, case when rest = '' then '/' else rest end as path from parsed),
