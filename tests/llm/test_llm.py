@@ -74,12 +74,13 @@ def repeats_of(texts, k):
     return out
 
 
-@pytest.mark.parametrize("length", [200, 24])
-def test_suffix_matches_brute_force(docs, rows, length):
+@pytest.mark.parametrize(("length", "heavy"), [(200, 500), (24, 500), (200, 0), (24, 0), (24, 3)])
+def test_suffix_matches_brute_force(docs, rows, length, heavy):
     texts = [(r[1] or "").encode() for r in rows]
-    want = sorted((r[0] is not None, r[0] or 0, len(b), int(g.sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~g])).hexdigest()) for r, b, g in zip(rows, texts, repeats_of(texts, length), strict=True))
-    got = suffix.kept(suffix.repeats(docs, length=length)).withColumn("h", F.sha2("kept", 256)).collect()
-    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["h"]) for r in got) == want
+    spans = lambda g: int((np.diff(g.astype(int), prepend=0) == 1).sum())
+    want = sorted((r[0] is not None, r[0] or 0, len(b), int(g.sum()), spans(g), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~g])).hexdigest()) for r, b, g in zip(rows, texts, repeats_of(texts, length), strict=True))
+    got = suffix.kept(suffix.repeats(docs.withColumns({c: F.lit("clash") for c in ("b", "m", "rest", "spans", "kept", "bucket")}), length=length, heavy=heavy)).withColumn("h", F.sha2("kept", 256)).collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["n_spans"], r["h"]) for r in got) == want
 
 
 def test_suffix_cut_keeps_columns_and_nulls(docs, empty):
