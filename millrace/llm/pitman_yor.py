@@ -18,29 +18,36 @@ context; buckets and shards exchange table counts and parent probabilities
 once each sweep; both answer each block in the order it asked. A block sends
 a word or pair once however often it occurs, so frequent ones weigh no more
 than rare ones. All statistics come from all training documents. The text is
-shuffled once; the three passes over it read that one exchange. Later passes
-replay a bucket's earlier sweeps from their seeds and the answers received.
+shuffled once; the three passes over it read that one exchange. A bucket's and
+a shard's seating goes from sweep to sweep as a message to itself. The first
+``BURN_IN`` sweeps aren't averaged.
 
 Words are known by a 64-bit polynomial hash of their bytes; at ten billion
 distinct words two or three would be taken for another.
 
 Defined results: null text is empty and has its end token only; a document's
 fold comes from its id as text (null: the empty text); repeated rows are
-scored each, and learned from each; with no training documents every token
-has the uniform probability; an empty table gives an empty result.
+scored each, and learned from each; words are read whole, however long; ids may
+be of any type; with no training documents every token has the uniform
+probability; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import block_count, lean, lean_cogroup, small_batches, utf8
 
 #: Discount and strength of the context restaurants and of their parent.
 DISCOUNT, STRENGTH = 0.85, 2.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.7, 10.0
-SWEEPS = 2
+#: Sweeps in all, and the first of them, which aren't averaged.
+SWEEPS, BURN_IN = 3, 1
+#: Steps of the messages that carry the seating of a bucket and of a shard.
+BUCKET_STATE, SHARD_STATE = 1000, 2000
 MESSAGE = "target int, origin int, step int, data binary"
 
 
@@ -141,7 +148,7 @@ class Lines:
     def __init__(self, table):
         import numpy as np
 
-        rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("b").to_pylist(), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("b").to_pylist(), strict=True), key=lambda r: (r[0] is not None, 0 if r[0] is None else r[0], r[1]))
         self.ids = [r[0] for r in rows]
         values, parts = _byte_values(), []
         self.sizes = np.ones(len(rows), dtype=np.int64)
@@ -286,11 +293,11 @@ def log_stirling(counts, discount: float) -> dict:
 
 
 class Seats:
-    """The customers of one dish, each with its table."""
+    """The customers of one dish, each with its table: ``sizes`` of them at each."""
 
-    def __init__(self, customers: int, tables: int):
-        self.at = [*range(tables), *[0] * (customers - tables)]
-        self.size, self.free, self.tables = [customers - tables + 1, *[1] * (tables - 1)], [], tables
+    def __init__(self, sizes: list[int]):
+        self.at = [k for k, n in enumerate(sizes) for _ in range(n)]
+        self.size, self.free, self.tables = list(sizes), [], len(sizes)
 
     def _leave(self, k: int) -> None:
         self.size[k] -= 1
@@ -350,6 +357,23 @@ class Seating:
         self.moving = np.flatnonzero(self.customers >= 2)
         self.table_total = np.bincount(self.restaurant, weights=self.tables, minlength=self.n)
 
+    def state(self):
+        """The seating as arrays: tables of the moving dishes, then the dishes seated one by one, their tables and the customers at each."""
+        import numpy as np
+
+        big = sorted(self.seats)
+        sizes = [[n for n in self.seats[d].size if n] for d in big]
+        return [self.tables[self.moving].astype(np.uint32), np.array(big, dtype=np.uint32), np.array([len(x) for x in sizes], dtype=np.uint32), np.array([n for x in sizes for n in x], dtype=np.uint32)]
+
+    def restore(self, tables, big, n, sizes) -> None:
+        """Takes up a ``state`` of the same dishes and customers."""
+        import numpy as np
+
+        self.tables[self.moving] = tables
+        self.table_total = np.bincount(self.restaurant, weights=self.tables, minlength=self.n)
+        ends = np.cumsum(n.astype(np.int64)).tolist()
+        self.seats = {d: Seats(sizes[e - k : e].tolist()) for d, k, e in zip(big.tolist(), n.tolist(), ends, strict=True)}
+
     def seat(self, customers) -> None:
         """As many customers as this from now on; a dish keeps its tables as far as it has customers for them."""
         import numpy as np
@@ -410,7 +434,8 @@ class Seating:
             dish, c, p = int(self.moving[i]), int(number[i]), float(base[i])
             r = self.restaurant[dish]
             other = float(self.table_total[r] - self.tables[dish])
-            seats = self.seats.get(dish) or Seats(c, int(self.tables[dish]))
+            tables = int(self.tables[dish])
+            seats = self.seats.get(dish) or Seats([c - tables + 1, *[1] * (tables - 1)])
             seats.resize(c, other, p, self.discount, self.strength, draw)
             seats.sweep(other, p, self.discount, self.strength, draw)
             self.seats[dish] = seats
@@ -461,22 +486,20 @@ class Bucket:
         shard = self.words[self.told] % shards
         return [(s, np.flatnonzero(shard == s)) for s in np.unique(shard).tolist()]
 
-    def replay(self, answers, shards: int):
-        """Sweep after sweep, given the parent's answers; yields after each."""
+    def sweep(self, step: int, answers, shards: int) -> None:
+        """One sweep, given the parent's answers."""
         import numpy as np
 
-        for step in sorted(answers):
-            mass, n, t, v = np.zeros(len(self.words)), 0.0, 0.0, 0.0
-            places = dict(self.by_shard(shards))
-            for shard, (a, totals) in answers[step]:
-                own = places.get(shard)
-                if own is not None:
-                    own = own[self.wanted[own]]
-                    mass[self.told[own]] = a
-                n, t, v = n + totals[0], t + totals[1], v + totals[2]
-            base = (mass + (PARENT_STRENGTH + PARENT_DISCOUNT * t) / (v + 1)) / (PARENT_STRENGTH + n)
-            self.seats.sweep(base[self.w[self.seats.moving]], np.random.default_rng([7, step, self.key]))
-            yield step
+        mass, n, t, v = np.zeros(len(self.words)), 0.0, 0.0, 0.0
+        places = dict(self.by_shard(shards))
+        for shard, (a, totals) in answers:
+            own = places.get(shard)
+            if own is not None:
+                own = own[self.wanted[own]]
+                mass[self.told[own]] = a
+            n, t, v = n + totals[0], t + totals[1], v + totals[2]
+        base = (mass + (PARENT_STRENGTH + PARENT_DISCOUNT * t) / (v + 1)) / (PARENT_STRENGTH + n)
+        self.seats.sweep(base[self.w[self.seats.moving]], np.random.default_rng([7, step, self.key]))
 
 
 class Shard:
@@ -499,41 +522,54 @@ class Shard:
         ends = np.cumsum([len(x[0]) for _, x in sent])
         self.asked = {o: (rank[i], count[i]) for (o, _), i in zip(sent, np.split(inverse, ends[:-1]) if sent else [], strict=True)}
 
-    def states(self, messages, sweeps: int):
-        """The parent's customers less discount by word, its customers and tables, after each round of messages."""
+    def parent(self, step: int, messages):
+        """The seating after the buckets' sweep ``step``: seats, each word's customers less discount, totals, and who told which words and wants which.
+
+        ``messages`` has the buckets' first message, that of the step, and the state after the step before.
+        """
         import numpy as np
 
         first = messages.get(0, [])
         words = {o: x[0].astype(np.int64) for o, x in first}
         wanted = {o: x[2].astype(bool) for o, x in first}
-        now = {o: x[1].astype(np.int64) for o, x in first}
-        seats = Seating(np.zeros(self.size, dtype=np.int64), np.zeros(self.size, dtype=np.int64), PARENT_DISCOUNT, PARENT_STRENGTH)
-        for step in range(sweeps + 1):
-            if step:
-                for o, (sums,) in messages.get(step, []):
-                    now[o] = now[o].copy()
-                    now[o][wanted[o]] = sums
+
+        def customers(at):
             n = np.zeros(self.size, dtype=np.int64)
-            for o, w in words.items():
-                n[w] += now[o]
-            seats.seat(n)
-            # A new table's weight is (strength + discount * tables) / (words + 1); tables a word are here as everywhere.
-            own = float(seats.tables.sum())
-            base = PARENT_DISCOUNT * own / max(1, self.size) / (PARENT_STRENGTH + PARENT_DISCOUNT * own)
-            seats.sweep(np.full(len(seats.moving), base), np.random.default_rng([8, step, self.key]))
-            yield step, n - PARENT_DISCOUNT * seats.tables, np.array([n.sum(), seats.tables.sum(), self.size, self.total], dtype=np.float64), words, wanted
-            if step not in messages:
-                return
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweeps: int = SWEEPS) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the text)."""
+            later = {o: x[0] for o, x in messages.get(at, [])} if at else {}
+            for o, x in first:
+                now = x[1].astype(np.int64)
+                if o in later:
+                    now[wanted[o]] = later[o]
+                n[words[o]] += now
+            return n
+
+        seats = Seating(np.zeros(self.size, dtype=np.int64), np.zeros(self.size, dtype=np.int64), PARENT_DISCOUNT, PARENT_STRENGTH)
+        if step:
+            (_, (before, *state, _, _)), = messages[SHARD_STATE + step - 1]
+            seats.seat(before)
+            seats.restore(*state)
+        n = customers(step)
+        seats.seat(n)
+        # A new table's weight is (strength + discount * tables) / (words + 1); tables a word are here as everywhere.
+        own = float(seats.tables.sum())
+        base = PARENT_DISCOUNT * own / max(1, self.size) / (PARENT_STRENGTH + PARENT_DISCOUNT * own)
+        seats.sweep(np.full(len(seats.moving), base), np.random.default_rng([8, step, self.key]))
+        totals = np.array([n.sum(), seats.tables.sum(), self.size, self.total], dtype=np.float64)
+        return seats, n - PARENT_DISCOUNT * seats.tables, totals, words, wanted
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> DataFrame:
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the text), perplexity (10 to the minus score a token)."""
     import numpy as np
 
+    if not 0 <= burn_in < sweeps:
+        raise ValueError("some sweep has to be averaged")
+    samples = sweeps - burn_in
     small_batches(docs.sparkSession)
-    parts = block_count(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("b"))
-    dealt = rows.withColumn("target", F.pmod(F.xxhash64("doc_id", F.length("b"), F.substring("b", 1, 64)), F.lit(parts)).cast("int")).repartition(parts, "target")
+    rows = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("b"))
+    parts = block_count(docs.sparkSession, rows.agg(F.sum(F.length("b"))).first()[0] or 0)
+    # Rows that repeat both id and text are parted by where they come from.
+    dealt = rows.withColumn("target", F.pmod(F.xxhash64("doc_id", F.length("b"), F.substring("b", 1, 64), F.spark_partition_id()), F.lit(parts)).cast("int")).repartition(parts, "target")
     unseen = np.uint32(0xFFFFFFFF)
 
     def count_words(key, table):
@@ -588,34 +624,43 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweep
 
     def parent(step):
         def run(key, table, messages):
+            if not len(table):
+                return _messages([])
             shard = Shard(table, key[0].as_py())
-            out = []
-            for at, mass, totals, words, wanted in shard.states(_read(messages), step - 1):
-                if at == step - 1:
-                    for b in range(parts):
-                        own = words[b][wanted[b]] if b in words else np.zeros(0, dtype=np.int64)
-                        out.append((b, shard.key, step, _pack(mass[own].astype(np.float32), totals)))
+            seats, mass, totals, words, wanted = shard.parent(step - 1, _read(messages))
+            out = [(shard.key, shard.key, SHARD_STATE + step - 1, _pack(seats.customers.astype(np.uint32), *seats.state(), mass.astype(np.float32), totals))]
+            for b in range(parts):
+                own = words[b][wanted[b]] if b in words else np.zeros(0, dtype=np.int64)
+                out.append((b, shard.key, step, _pack(mass[own].astype(np.float32), totals)))
             return _messages(out)
 
+        run.__name__ = f"parent_{step}"
         return run
 
     def sweep(step):
-        def run(key, table, answers):
+        def run(key, table, told):
             if not len(table):
                 return _messages([])
-            bucket = Bucket(table, key[0].as_py())
-            for _ in bucket.replay(_read(answers), parts):
-                pass
+            bucket, messages = Bucket(table, key[0].as_py()), _read(told)
+            if step > 1:
+                bucket.seats.restore(*messages[BUCKET_STATE + step - 1][0][1])
+            bucket.sweep(step, messages.get(step, []), parts)
             sums = bucket.sums()
-            return _messages([(s, bucket.key, step, _pack(sums[i][bucket.wanted[i]].astype(np.uint32))) for s, i in bucket.by_shard(parts)])
+            state = (bucket.key, bucket.key, BUCKET_STATE + step, _pack(*bucket.seats.state()))
+            return _messages([state, *[(s, bucket.key, step, _pack(sums[i][bucket.wanted[i]].astype(np.uint32))) for s, i in bucket.by_shard(parts)]])
 
+        run.__name__ = f"sweep_{step}"
         return run
 
-    def tell_words(key, table, messages):
-        shard = Shard(table, key[0].as_py())
-        kept = [(mass, totals) for at, mass, totals, _, _ in shard.states(_read(messages), sweeps) if at]
-        if not kept:
-            kept = [(np.zeros(shard.size), np.array([0.0, 0.0, shard.size, shard.total]))] * sweeps
+    def tell_words(key, table, told):
+        if not len(table):
+            return _messages([])
+        shard, messages = Shard(table, key[0].as_py()), _read(told)
+        if SHARD_STATE + sweeps - 1 in messages:
+            _, mass, totals, _, _ = shard.parent(sweeps, messages)
+            kept = [tuple(messages[SHARD_STATE + at][0][1][-2:]) for at in range(burn_in + 1, sweeps)] + [(mass, totals)]
+        else:
+            kept = [(np.zeros(shard.size), np.array([0.0, 0.0, shard.size, shard.total]))] * samples
         out = []
         for m in range(parts):
             rank, count = shard.asked.get(m, (np.zeros(0, dtype=np.int64),) * 2)
@@ -628,17 +673,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweep
             out.append((m, shard.key, 1, _pack(np.concatenate(masses), np.concatenate([t for _, t in kept]))))
         return _messages(out)
 
-    def tell_pairs(key, table, answers):
+    def tell_pairs(key, table, told):
         if not len(table):
             return _messages([])
-        bucket = Bucket(table, key[0].as_py())
+        bucket, messages = Bucket(table, key[0].as_py()), _read(told)
         seats, full = bucket.seats, STRENGTH + bucket.total
-        seen, back, n = np.zeros(len(bucket.c)), [], 0
-        for _ in bucket.replay(_read(answers), parts):
-            seen += np.maximum(bucket.c - DISCOUNT * seats.tables, 0) / full[bucket.u]
+        seen, back = np.zeros(len(bucket.c)), []
+        for step in range(burn_in + 1, sweeps + 1):
+            seats.restore(*messages[BUCKET_STATE + step][0][1])
+            seen += np.maximum(bucket.c - DISCOUNT * seats.tables, 0) / full[bucket.u] / samples
             back.append(((STRENGTH + DISCOUNT * seats.table_total) / full).astype(np.float32))
-            n += 1
-        seen = (seen / max(1, n)).astype(np.float32)
+        seen = seen.astype(np.float32)
         out, at = [], 0
         for m, contexts, pairs in bucket.blocks:
             own, u = bucket.of_message[at : at + pairs], np.searchsorted(bucket.contexts, contexts)
@@ -654,46 +699,57 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweep
         lines = Lines(table)
         number, count, n, v = numbered(lines, answers)
         contexts, per, _, _, bucket, place = lines.pairs(number, parts)
-        masses, places = np.zeros((sweeps, len(number))), dict(lines.words_by_shard(parts))
-        totals = np.zeros((sweeps, 4))
+        masses, places = np.zeros((samples, len(number))), dict(lines.words_by_shard(parts))
+        totals = np.zeros((samples, 4))
         for shard, (mass, total) in _read(answers, 1):
-            masses[:, places[shard]] = mass.reshape(sweeps, -1)
-            totals += total.reshape(sweeps, 4)
+            masses[:, places[shard]] = mass.reshape(samples, -1)
+            totals += total.reshape(samples, 4)
         root = (masses + ((PARENT_STRENGTH + PARENT_DISCOUNT * totals[:, 1]) / (v + 1))[:, None]) / (PARENT_STRENGTH + totals[:, 0])[:, None]
         told = dict(_read(answers, 2))
         seen = np.concatenate([np.zeros(0), *[told[b][0] for b in np.unique(bucket).tolist()]])
         # What is left to the parent, by context and sample: a context not seen in training leaves all.
-        left = np.ones((sweeps, len(number)))
-        back = [np.concatenate([np.zeros(0), *[told[b][1 + s] for b in np.unique(bucket).tolist()]]) for s in range(sweeps)]
+        left = np.ones((samples, len(number)))
+        back = [np.concatenate([np.zeros(0), *[told[b][1 + s] for b in np.unique(bucket).tolist()]]) for s in range(samples)]
         by_number = np.argsort(number, kind="stable")
         local = by_number[np.searchsorted(number[by_number], contexts)] if len(contexts) else contexts
-        for s in range(sweeps):
+        for s in range(samples):
             left[s, local] = back[s]
         p = np.zeros(len(lines.tokens))
-        for s in range(sweeps):
-            p += left[s, lines.before] * root[s, lines.tokens] / sweeps
+        for s in range(samples):
+            p += left[s, lines.before] * root[s, lines.tokens] / samples
         has = place >= 0
         p[has] += seen[place[has]]
         start = np.cumsum(lines.sizes) - lines.sizes
         add = lambda x: np.add.reduceat(x, start)
         base = add(np.log10((count[lines.tokens] + 1.0) / (n + v + 1.0)))
-        out = {"doc_id": lines.ids, "held_out": ~lines.train, "n_tokens": lines.sizes, "n_known": add((count[lines.tokens] > 0).astype(np.int64)), "train_tokens": np.full(len(start), n), "base_score": base, "score": add(np.log10(p))}
+        score = add(np.log10(p))
+        out = {"doc_id": lines.ids, "held_out": ~lines.train, "n_tokens": lines.sizes, "n_known": add((count[lines.tokens] > 0).astype(np.int64)), "train_tokens": np.full(len(start), n), "base_score": base, "score": score, "perplexity": 10 ** (-score / lines.sizes)}
         return pa.table({c: pa.array(x, kinds[c]) for c, x in out.items()})
 
     import pyarrow as pa
 
-    kinds = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
+    kinds = {"held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "perplexity": pa.float64()}
+    kinds = {"doc_id": to_arrow_type(rows.schema["doc_id"].dataType), **kinds}
     deal = lambda df: df.repartition(parts, "target")
     both = lambda a, b, f: a.groupBy("target").cogroup(b.groupBy("target")).applyInArrow(lean_cogroup(f), MESSAGE)
     words = deal(dealt.groupBy("target").applyInArrow(lean(count_words), MESSAGE))
     numbers = deal(words.groupBy("target").applyInArrow(lean(number_words), MESSAGE))
     pairs = deal(both(dealt, numbers, send_pairs))
-    tables = deal(pairs.groupBy("target").applyInArrow(lean(seat), MESSAGE))
-    answers = None
+    tables = [deal(pairs.groupBy("target").applyInArrow(lean(seat), MESSAGE))]
+    answers: list = []
     for step in range(1, sweeps + 1):
-        answer = both(words, tables, parent(step))
-        answers = deal(answer if answers is None else answers.unionByName(answer))
-        tables = deal(tables.unionByName(both(pairs, answers, sweep(step))))
-    told = both(words, tables, tell_words).unionByName(both(pairs, answers, tell_pairs)).unionByName(numbers)
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        told = tables[0]
+        if step > 1:  # the shards' states are among the parent's answers, the buckets' among their tables
+            told = told.unionByName(tables[-1]).unionByName(answers[-1])
+        answers.append(deal(both(words, told, parent(step))))
+        told = answers[-1] if step == 1 else answers[-1].unionByName(tables[-1])
+        tables.append(deal(both(pairs, told, sweep(step))))
+    told = tables[0].unionByName(tables[-1])
+    for x in answers[burn_in + 1 :] if sweeps > burn_in + 1 else answers[-1:]:
+        told = told.unionByName(x)
+    states = tables[burn_in + 1]
+    for x in tables[burn_in + 2 :]:
+        states = states.unionByName(x)
+    told = both(words, told, tell_words).unionByName(both(pairs, states, tell_pairs)).unionByName(numbers)
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
     return dealt.groupBy("target").cogroup(deal(told).groupBy("target")).applyInArrow(lean_cogroup(finish), schema)

@@ -378,11 +378,26 @@ def test_parent_goes_on_and_has_no_cap():
     table = pitman_yor._messages([(0, 0, 0, pitman_yor._pack(np.arange(1, v + 1, dtype=np.uint64), count))])
     n = [count, np.full(v, 500, dtype=np.uint32), np.where(np.arange(v) < 5, 2, 1600).astype(np.uint32)]
     messages = {0: [(0, (np.arange(v, dtype=np.uint32), n[0], np.ones(v, dtype=bool)))], 1: [(0, (n[1],))], 2: [(0, (n[2],))]}
-    tables = [(x - mass) / pitman_yor.PARENT_DISCOUNT for x, (_, mass, *_) in zip(n, pitman_yor.Shard(table, 0).states(messages, 2), strict=True)]
+    tables = []
+    for step in range(3):
+        seats, mass, totals, _, _ = pitman_yor.Shard(table, 0).parent(step, messages)
+        messages[pitman_yor.SHARD_STATE + step] = [(0, (seats.customers.astype(np.uint32), *seats.state(), mass, totals))]
+        tables.append((n[step] - mass) / pitman_yor.PARENT_DISCOUNT)
+        assert (seats.tables == np.round(tables[-1])).all()
     assert tables[0].mean() > 1.4 and all(t[5:].mean() > 2 for t in tables[1:]) and max(t.max() for t in tables) > 4 and tables[2][:5].max() < 2.01
     assert all((t > 0.99).all() and (t <= x + 0.01).all() for t, x in zip(tables, n, strict=True))
 
 
+def test_seating_goes_on_from_its_state():
+    where, customers = np.array([0, 0, 1, 1, 1]), np.array([5, 1, 3000, 0, 1030])
+    make = lambda: pitman_yor.Seating(where, customers, 0.8, 2.0, 2)
+    seats, again = make(), make()
+    seats.sweep(np.full(3, 0.2), np.random.default_rng(0))
+    again.restore(*seats.state())
+    assert again.tables.tolist() == seats.tables.tolist() and again.table_total.tolist() == seats.table_total.tolist()
+    assert sorted(again.seats[2].size) == sorted(n for n in seats.seats[2].size if n) and len(again.seats[2].at) == 3000
+
+
 def test_pitman_yor_does_not_depend_on_blocks_for_unknown_words(spark):
     """"a zz" and "a b": the unknown word's probability is what "a" leaves to the parent, whether "a b" is in its block or not."""
     learns = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2]
