@@ -57,6 +57,16 @@ def word_repetition(rows: DataFrame, key: str, words: str, n: int = 5) -> DataFr
     return rows.select(key).join(found, key, "left").withColumn("word_repetition", F.coalesce("word_repetition", F.lit(0.0)))
 
 
+def word_repetition_of(words: Column, n: int = 5) -> Column:
+    """Occurrences of n-grams that occur twice or more among all occurrences, from a row's own words."""
+    size = F.size(words)
+    at = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
+    # Sorted hashes: an n-gram occurs again if a neighbour is the same.
+    line = F.array_sort(F.transform(at, lambda i: F.xxhash64(F.slice(words, i, n))))
+    again = lambda g: F.size(F.filter(g, lambda x, i: F.coalesce(F.get(g, i - 1) == x, F.lit(False)) | F.coalesce(F.get(g, i + 1) == x, F.lit(False))))
+    return F.transform(F.array(line), lambda g: share(again(g), F.size(g)))[0]
+
+
 def character_repetition_of(text: str | None, n: int = 10) -> float:
     """Occurrences of the most frequent character n-grams among all.
 
@@ -66,13 +76,21 @@ def character_repetition_of(text: str | None, n: int = 10) -> float:
     import math
     from collections import Counter
 
-    text = text or ""
-    counts = Counter(text[i : i + n] for i in range(len(text) - n + 1))
-    if not counts:
+    import numpy as np
+
+    if not text or len(text) < n:
         return 0.0
-    ones = sum(1 for v in counts.values() if v == 1)
-    top = min(int(math.sqrt(len(counts))), len(counts) - ones)
-    return sum(sorted(counts.values(), reverse=True)[:top]) / sum(counts.values())
+    if len(text) < 400:  # below that, counting beats arrays
+        few = sorted(Counter(text[i : i + n] for i in range(len(text) - n + 1)).values(), reverse=True)
+        return sum(few[: min(int(math.sqrt(len(few))), sum(v > 1 for v in few))]) / sum(few)
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    h = np.zeros(len(x) - n + 1, dtype=np.uint64)
+    for i in range(n):
+        h = (h ^ x[i : len(x) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    counts = np.sort(np.unique(h, return_counts=True)[1])[::-1]
+    top = min(int(math.sqrt(len(counts))), int((counts > 1).sum()))
+    return float(counts[:top].sum() / counts.sum())
 
 
 def character_repetition(n: int = 10):
@@ -82,3 +100,13 @@ def character_repetition(n: int = 10):
         return text.map(lambda t: character_repetition_of(t, n), na_action=None).astype(float)
 
     return run
+
+
+def character_repetition_each(n: int = 10):
+    """As ``character_repetition``, of each string of an array column."""
+
+    @F.pandas_udf("array<double>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: [] if x is None else [character_repetition_of(t, n) for t in x])
+
+    return run

@@ -22,9 +22,13 @@ def strip_special(word: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(word, f"^[{SPECIAL}]+", ""), f"[{SPECIAL}]+$", "")
 
 
+#: From a character that isn't special to the last such one before a space, line end or tab.
+WORD = f"[^{SPECIAL}](?:[^ \n\t]*[^{SPECIAL}])?"
+
+
 def words(text: Column) -> Column:
-    """Lower-cased words without special characters at their ends."""
-    return F.filter(F.transform(split_words(text), lambda x: strip_special(F.lower(x))), lambda x: x != "")
+    """Lower-cased words without special characters at their ends, by one expression over the text."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
 def standard_spaces(text: Column) -> Column:

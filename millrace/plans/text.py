@@ -31,7 +31,21 @@ def _punctuation(text: str, least: int) -> str:
 
 
 def _passes(text: str, tokens: str, limits) -> str:
-    return f"(len({tokens}) >= {limits.least_words} and len({tokens}) <= {limits.most_words} and {_special(text)} <= {limits.most_special} and {_share(tokens, limits.flagged_words)} <= {limits.most_flagged} and {_share(tokens, limits.stop_words)} >= {limits.least_stop} and {_punctuation(text, limits.punctuation_from)} >= {limits.least_punctuation})"
+    return f"(len({tokens}) >= {limits.least_words} and len({tokens}) <= {limits.most_words} and {_special(text)} <= {limits.most_special} and {_share(tokens, limits.flagged_words)} <= {limits.most_flagged} and {_share(tokens, limits.stop_words)} >= {limits.least_stop} and {_punctuation(text, limits.punctuation_from)} >= {limits.least_punctuation} and {_word_repetition(tokens)} <= {limits.most_word_repetition})"
+
+
+def _word_repetition(tokens: str, n: int = 5) -> str:
+    grams = f"list_transform(range(1, len({tokens}) - {n - 2}), lambda i: array_to_string({tokens}[i:i + {n - 1}], ' '))"
+    return f"case when len({tokens}) >= {n} then (select coalesce(sum(c) filter (where c > 1), 0) / sum(c) from (select count(*) as c from (select unnest({grams}) as g) group by g)) else 0 end"
+
+
+def _char_repetition(rows: str, key: str, text: str, n: int = 10) -> str:
+    """A table expression: the key and the character repetition of each row."""
+    return (
+        f"(select {key}, coalesce(sum(c) filter (where place <= least(floor(sqrt(n)), n - ones)) / sum(c), 0) as char_repetition from "
+        f"(select *, count(*) over (partition by {key}) as n, count(*) filter (where c = 1) over (partition by {key}) as ones, row_number() over (partition by {key} order by c desc) as place from "
+        f"(select {key}, g, count(*) as c from (select {key}, substring({text}, i, {n}) as g from (select {key}, {text}, unnest(range(1, length({text}) - {n - 2})) as i from {rows})) group by {key}, g)) group by {key})"
+    )
 
 
 def _docs(spark, sf_dir):
@@ -71,16 +85,19 @@ def common_word_counts(spark, sf_dir):
 
 
 def doc_quality_filter(spark, sf_dir):
-    return quality.filter_documents(_docs(spark, sf_dir)).select("doc_id", "lang", "source", "n_chars")
+    """All tests of the recipe; the dictionary of common words is the corpus's own."""
+    docs = _docs(spark, sf_dir)
+    return quality.filter_documents(docs, key="doc_id", common=quality.common_words(docs)).select("doc_id", "lang", "source", "n_chars")
 
 
 def doc_quality_by_lang(spark, sf_dir):
-    held = _docs(spark, sf_dir).withColumn("w", words(F.col("text"))).select("lang", quality.passes(F.col("text"), F.col("w"), quality.DOCUMENT).alias("ok"))
+    held = _docs(spark, sf_dir).select("lang", quality.text_passes(F.col("text"), quality.DOCUMENT).alias("ok"))
     return held.groupBy("lang").agg(F.count("*").alias("n_docs"), F.count_if("ok").alias("n_kept"))
 
 
 def para_quality_filter(spark, sf_dir):
-    kept = quality.filter_paragraphs(_docs(spark, sf_dir).select("doc_id", "text"), sep="\n", marker="END_OF_DOCUMENT_TOKEN_TO_BE_REPLACED")
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    kept = quality.filter_paragraphs(docs, sep="\n", marker="END_OF_DOCUMENT_TOKEN_TO_BE_REPLACED", key="doc_id", common=quality.common_words(docs))
     return kept.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.size(F.split("text", "\n")).cast("long").alias("n_paragraphs"))
 
 
@@ -140,9 +157,16 @@ SQL = {
     "doc_common_word_ratio": _W + ", e as (select doc_id, unnest(w) as word from d), c as (select word from e group by word having count(*) >= 2), r as (select e.doc_id, count(c.word) / count(*) as r from e left join c on e.word = c.word group by e.doc_id) select d.doc_id, round(coalesce(r, 0), 9) as common_ratio from d left join r on d.doc_id = r.doc_id",
     "common_word_counts": _W + ", e as (select unnest(w) as word from d) select word, count(*) as n from e group by word having count(*) >= 2",
     "doc_word_rep": _W + ", g as (select doc_id, array_to_string(w[i:i + 4], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d)), c as (select doc_id, g, count(*) as n from g group by doc_id, g), r as (select doc_id, coalesce(sum(n) filter (where n > 1), 0) / sum(n) as r from c group by doc_id) select d.doc_id, round(coalesce(r, 0), 9) as word_repetition from d left join r on d.doc_id = r.doc_id",
-    "doc_quality_filter": _W + f"select doc_id, lang, source, n_chars from d where {_passes('text', 'w', _D)}",
+    "doc_char_rep": f"select d.doc_id, round(coalesce(char_repetition, 0), 9) as char_repetition from documents d left join {_char_repetition('documents', 'doc_id', 'text')} r on d.doc_id = r.doc_id",
+    "doc_quality_filter": _W + f", e as (select doc_id, unnest(w) as word from d), c as (select word from e group by word having count(*) >= 2), r as (select e.doc_id, count(c.word) / count(*) as r from e left join c on e.word = c.word group by e.doc_id), "
+    f"k as (select * from d where {_passes('text', 'w', _D)}) select k.doc_id, lang, source, n_chars from k left join {_char_repetition('k', 'doc_id', 'text')} x on k.doc_id = x.doc_id left join r on k.doc_id = r.doc_id "
+    f"where coalesce(char_repetition, 0) <= {_D.most_char_repetition} and coalesce(r, 0) >= {_D.least_common}",
     "doc_quality_by_lang": _W + f"select lang, count(*) as n_docs, count(*) filter (where {_passes('text', 'w', _D)}) as n_kept from d group by lang",
-    "para_quality_filter": _PARAGRAPHS + f"w as (select *, {P_WORDS} as w from p), k as (select * from w where {_passes('p', 'w', _P)} or p = 'END_OF_DOCUMENT_TOKEN_TO_BE_REPLACED') select doc_id, sha256(string_agg(p, chr(10) order by i)) as text_sha256, count(*) as n_paragraphs from k group by doc_id",
+    "para_quality_filter": _PARAGRAPHS + f"w as (select *, doc_id || '/' || i as pk, {P_WORDS} as w from p), c as (select word from (select unnest(w) as word from w) group by word having count(*) >= 2), "
+    f"e as (select pk, unnest(w) as word from w), r as (select e.pk, count(c.word) / count(*) as r from e left join c on e.word = c.word group by e.pk), "
+    f"o as (select * from w where {_passes('p', 'w', _P)}), x as {_char_repetition('o', 'pk', 'p')}, "
+    f"k as (select o.* from o left join x on o.pk = x.pk left join r on o.pk = r.pk where coalesce(char_repetition, 0) <= {_P.most_char_repetition} and coalesce(r, 0) >= {_P.least_common} "
+    "union select * from w where p = 'END_OF_DOCUMENT_TOKEN_TO_BE_REPLACED') select doc_id, sha256(string_agg(p, chr(10) order by i)) as text_sha256, count(*) as n_paragraphs from k group by doc_id",
     "spam_paragraph_filter": _PARAGRAPHS + f"w as (select *, {P_WORDS} as w from p), k as (select * from w where {_share('w', quality.SPAM_WORDS)} < 0.12) select doc_id, sha256(string_agg(p, chr(10) order by i)) as text_sha256, count(*) as n_paragraphs from k group by doc_id",
     "doc_normalised": r"select doc_id, sha256(regexp_replace(lower(text), '\p{Nd}', '0', 'g')) as zeroed_sha256, len(list_filter(regexp_split_to_array(text, '[ \n\t]'), lambda x: x <> ''))::bigint as n_pieces, length(regexp_replace(text, '[\x00-\x1F\x7F-\x{9F}]', '', 'g'))::bigint as n_printable from documents",
     "threshold_report": _W + f"select count(*) as n_docs, count(*) filter (where len(w) < {_D.least_words} or len(w) > {_D.most_words}) as by_words, count(*) filter (where {_special('text')} > {_D.most_special}) as by_special, count(*) filter (where {_share('w', _D.stop_words)} < {_D.least_stop}) as by_stop, count(*) filter (where {_share('w', _D.flagged_words)} > {_D.most_flagged}) as by_flagged from d",
