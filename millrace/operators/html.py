@@ -17,14 +17,43 @@ from pyspark.sql import functions as F
 
 #: Tags that only style their text: fixed values.
 STYLE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "shadow", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-#: Tags whose texts and media are kept; all others go with what they hold: fixed values.
-CONTENT = set(
-    "address article aside blink blockquote body br caption center dd dl dt div figcaption h h1 h2 h3 h4 h5 h6 hgroup html legend main marquee ol p section summary title ul "
-    "audio embed figure iframe img object picture video source".split()
-)
-#: The separator that a text in such a tag asks for, where it isn't none: fixed values.
-LINE = set("address article aside center dd dt div figcaption hgroup legend main marquee section summary".split())
-PARAGRAPH = set("blockquote dl h1 h2 h3 h4 h5 h6 ol p ul".split())
+#: Tags whose texts are kept, with the separator that such a tag asks for between texts: fixed values.
+SEPARATORS = {
+    "address": "\n",
+    "article": "\n",
+    "aside": "\n",
+    "blink": "",
+    "blockquote": "\n\n",
+    "body": "",
+    "caption": "",
+    "center": "\n",
+    "dd": "\n",
+    "dl": "\n\n",
+    "dt": "\n",
+    "div": "\n",
+    "figcaption": "\n",
+    "h": "",
+    "h1": "\n\n",
+    "h2": "\n\n",
+    "h3": "\n\n",
+    "h4": "\n\n",
+    "h5": "\n\n",
+    "h6": "\n\n",
+    "hgroup": "\n",
+    "html": "",
+    "legend": "\n",
+    "main": "\n",
+    "marquee": "\n",
+    "ol": "\n\n",
+    "p": "\n\n",
+    "section": "\n",
+    "summary": "\n",
+    "title": "",
+    "ul": "\n\n",
+}
+#: Media tags and what may name their address: fixed values.
+MEDIA = ["audio", "embed", "figure", "iframe", "img", "object", "picture", "video", "source"]
+CONTENT = {*SEPARATORS, "br", *MEDIA}
 NAVIGATION = {"footer", "header", "navigation", "nav", "navbar", "menu"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -102,10 +131,7 @@ def media_source(attrs: dict) -> str | None:
 
 def _gap(a, b) -> str:
     """The strongest separator that the tags in which two paths differ ask for."""
-    differ = {t for _, t in set(a) ^ set(b)}
-    if differ & PARAGRAPH:
-        return "\n\n"
-    return "\n" if differ & LINE else ""
+    return max((SEPARATORS.get(t, "") for _, t in set(a) ^ set(b)), key=len, default="")
 
 
 def nodes_of(page: str | None) -> list[dict]:
