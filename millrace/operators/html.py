@@ -10,6 +10,7 @@ and neighbouring texts are merged with the strongest separator between them.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -62,62 +63,81 @@ BLOCKS = {"address", "article", "aside", "blockquote", "center", "dl", "div", "f
 SOURCES = ["src", "data-src", "data-src-fg", "data-scroll-image", "srcset", "data-lateloadsrc", "data-img-src", "data-original", "data-gt-lazy-src", "data-lazy", "data-lazy-src", "src2"]
 
 
+DIGITS, BLANKS = re.compile("[0-9]"), re.compile("[ \\n\\t\\r]+")
+
+
+class _Place:
+    """An open tag that isn't a style tag, under the one around it."""
+
+    __slots__ = ("up", "tag", "depth", "dated")
+
+    def __init__(self, up, tag: str, attrs: dict):
+        self.up, self.tag, self.depth = up, tag, up.depth + 1 if up else 1
+        self.dated = tag == "div" and "date" in (attrs.get("class") or "").lower()
+
+
 class _Reader(HTMLParser):
-    """Collects (kind, value, path, attributes) nodes of kept content."""
+    """Collects (kind, value, place, attributes) nodes of kept content; the work follows the length of the page, not its depth."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, dict]] = []  # tag, whether its content is kept, attributes
+        self.open: list[tuple[str, bool, _Place | None]] = []  # tag, whether its content is kept, the innermost place
+        self.count: Counter = Counter()
         self.nodes: list[tuple] = []
 
     def _kept(self, tag: str, attrs: dict) -> bool:
-        if tag not in STYLE and re.sub("[0-9]", "", tag) not in CONTENT:
+        if tag not in STYLE and DIGITS.sub("", tag) not in CONTENT:
             return False
         return not (tag == "div" and any((attrs.get(k) or "").strip().lower() in NAVIGATION for k in ("id", "class", "title")))
 
+    def _place(self):
+        return self.open[-1][2] if self.open else None
+
     def handle_starttag(self, tag, attrs):
         named = dict(attrs)
-        if tag in BLOCKS and any(t == "p" for t, _, _ in self.open):
+        if tag in BLOCKS and self.count["p"]:
             self._close({"p"})
         if tag in CLOSES:
             self._close(CLOSES[tag], within={"table", "ul", "ol", "dl"})
         kept = (self.open[-1][1] if self.open else True) and self._kept(tag, named)
         if tag == "br" and kept:
-            self.nodes.append(("text", "\n", self._path(), {}))
+            self.nodes.append(("text", "\n", self._place(), {}))
         elif tag in {"img", "video", "audio"} and kept:
-            self.nodes.append(("media", tag, self._path(), named))
+            self.nodes.append(("media", tag, self._place(), named))
         if tag not in VOID:
-            self.open.append((tag, kept, named))
+            self.open.append((tag, kept, self._place() if tag in STYLE else _Place(self._place(), tag, named)))
+            self.count[tag] += 1
 
     def _close(self, tags, within=frozenset()):
+        if not any(self.count[t] for t in tags):
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] in tags:
-                del self.open[i:]
+                self._cut(i)
                 return
             if self.open[i][0] in within:
                 return
 
+    def _cut(self, i: int) -> None:
+        for tag, _, _ in self.open[i:]:
+            self.count[tag] -= 1
+        del self.open[i:]
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
-
-    def _path(self):
-        return tuple((id(named), tag) for tag, _, named in self.open if tag not in STYLE)
+        self._close({tag})
 
     def handle_data(self, data):
         if self.open and not self.open[-1][1]:
             return
-        last = next((x for x in reversed(self.open) if x[0] not in STYLE), None)
-        if last and last[0] == "div" and "date" in (last[2].get("class") or "").lower():
+        place = self._place()
+        if place and place.dated:
             return
-        self.nodes.append(("text", re.sub("[ \\n\\t\\r]+", " ", data), self._path(), {}))
+        self.nodes.append(("text", BLANKS.sub(" ", data), place, {}))
 
 
 def media_source(attrs: dict) -> str | None:
@@ -130,38 +150,64 @@ def media_source(attrs: dict) -> str | None:
 
 
 def _gap(a, b) -> str:
-    """The strongest separator that the tags in which two paths differ ask for."""
-    return max((SEPARATORS.get(t, "") for _, t in set(a) ^ set(b)), key=len, default="")
+    """The strongest separator that the tags in which two places differ ask for."""
+    best = ""
+    while a is not b:
+        if b is None or (a is not None and a.depth >= b.depth):
+            tag, a = a.tag, a.up
+        else:
+            tag, b = b.tag, b.up
+        gap = SEPARATORS.get(tag, "")
+        if len(gap) > len(best):
+            best = gap
+    return best
+
+
+def _uncommented(page: str) -> str:
+    """The page without comments; one that is never closed stays, as text."""
+    out, at = [], 0
+    while (start := page.find("<!--", at)) >= 0 and (end := page.find("-->", start + 4)) >= 0:
+        out.append(page[at:start])
+        at = end + 3
+    return "".join([*out, page[at:]])
 
 
 def nodes_of(page: str | None) -> list[dict]:
     """The page's texts and media in order: dicts with text, or src, alt, width and height."""
     reader = _Reader()
-    reader.feed(re.sub(r"(?s)<!--.*?-->", "", page or ""))
+    reader.feed(_uncommented(page or ""))
     reader.close()
     out: list[dict] = []
-    text, path = "", None
+    parts: list[str] = []
+    place, placed = None, False
 
     def flush():
-        nonlocal text, path
-        clean = re.sub(r" ?\n ?", "\n", re.sub(" {2,}", " ", text)).strip()
+        nonlocal placed
+        clean = re.sub(r" ?\n ?", "\n", re.sub(" {2,}", " ", "".join(parts))).strip()
         if clean:
             out.append({"text": re.sub("\n{3,}", "\n\n", clean), "src": None, "alt": None, "width": None, "height": None})
-        text, path = "", None
+        parts.clear()
+        placed = False
 
     for kind, value, where, attrs in reader.nodes:
         if kind == "media":
             if (src := media_source(attrs)) is not None:
                 flush()
                 out.append({"text": None, "src": src, "alt": attrs.get("alt"), "width": attrs.get("width"), "height": attrs.get("height")})
-        elif value.strip(" ") or text:
-            gap = _gap(path, where) if path is not None and value != "\n" else ""
+        elif value.strip(" ") or parts:
+            gap = _gap(place, where) if placed and value != "\n" else ""
             if value.strip(" ") and gap:
-                text = text.rstrip(" ") + (gap if not text.endswith(gap) else "")
+                while parts and not parts[-1].rstrip(" "):
+                    parts.pop()
+                if parts:
+                    parts[-1] = parts[-1].rstrip(" ")
+                if not "".join(parts[-2:]).endswith(gap):
+                    parts.append(gap)
                 value = value.lstrip(" ")
-            text += value
+            if value:
+                parts.append(value)
             if value.strip(" \n"):
-                path = where
+                place, placed = where, True
     flush()
     return out
 
