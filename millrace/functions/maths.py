@@ -93,3 +93,10 @@ def reordered(values: Column, order: list[int]) -> Column:
 def minutes_seconds(frame: Column, rate: float) -> Column:
     s = F.floor(frame / rate)
     return F.format_string("%02d:%02d", F.floor(s / 60), F.pmod(s, F.lit(60)))
+
+
+def perplexity(log_scores: Column, words: Column) -> Column:
+    """10 to the minus summed log10 scores of lines over their words and ends, to one digit."""
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    n = total(F.transform(words, lambda x: x + 1.0))
+    return F.when(n > 0, F.round(F.pow(F.lit(10.0), -total(log_scores) / n), 1))

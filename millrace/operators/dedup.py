@@ -239,11 +239,28 @@ def gram_rows(docs: DataFrame, key: str, text: str, n: int = 13) -> DataFrame:
     return split.select(key, F.explode(F.array_distinct(ngrams(F.col("t"), n))).alias("gram"))
 
 
+def gram_hashes(docs: DataFrame, key: str, text: str, n: int = 13) -> DataFrame:
+    """(key, gram: two 64-bit hashes) for each n-gram, as often as it occurs: nothing longer than the hashes is ever made a row."""
+    tokens = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[ \n\t\r]+"), lambda x: x != "")
+
+    def grams(t):
+        size = F.size(t)
+        at = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
+        part = lambda i: F.slice(t, i, n)
+        return F.transform(at, lambda i: F.struct(F.xxhash64(part(i)).alias("h"), F.xxhash64(F.lit(1), part(i)).alias("g")))
+
+    return docs.select(key, F.explode(F.transform(F.array(tokens), grams)[0]).alias("gram"))
+
+
+#: n-grams of a benchmark up to which they are broadcast (16 bytes each).
+BROADCAST_GRAMS = 1_000_000
+
+
 def contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", n: int = 13) -> DataFrame:
-    """(key, item, n_grams): shared n-grams of documents and benchmark items, by equality on the gram's hash and text."""
-    left = gram_rows(docs, key, text, n)
-    right = gram_rows(bench, item, text, n)
-    return left.join(right, "gram").groupBy(key, item).agg(F.count("*").alias("n_grams"))
+    """(key, item, n_grams): shared n-grams of documents and benchmark items, equal in 128 bits of hash."""
+    right = gram_hashes(bench, item, text, n).distinct()
+    few = right.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
+    return gram_hashes(docs, key, text, n).join(F.broadcast(right) if few else right, "gram").select(key, item, "gram").distinct().groupBy(key, item).agg(F.count("*").alias("n_grams"))
 
 
 def gram_index(docs: DataFrame, key: str, text: str, longest: int = 4) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,3 +38,36 @@ def difference_hash(grey) -> int:
 def content_key(images: Column) -> Column:
     """One key for a list of image bytes: their MD5 sums in order."""
     return F.array_join(F.transform(images, lambda b: F.md5(b)), "")
+
+
+def wavelet_hash(grey) -> int:
+    """64 bits: an 8 x 8 grey picture's Haar coefficients, the mean left out, against their median."""
+    import numpy as np
+
+    x = np.asarray(grey, dtype=np.float64).reshape(8, 8).copy()
+    n = 8
+    while n > 1:
+        for _ in range(2):  # rows, then columns
+            even, odd = x[:n, 0:n:2].copy(), x[:n, 1:n:2].copy()
+            x[:n, : n // 2], x[:n, n // 2 : n] = (even + odd) / 2, (even - odd) / 2
+            x = x.T
+        n //= 2
+    flat = x.reshape(-1)
+    return int(np.packbits(flat > np.median(flat[1:])).view(">u8")[0])
+
+
+def hash_column(f):
+    """A hash of grey pixels as a function of an array column; 64 bits come as 16 hex digits."""
+    @F.pandas_udf("string")
+    def run(grey: pd.Series) -> pd.Series:
+        shown = lambda h: h if isinstance(h, str) else f"{h:016x}"
+        return grey.map(lambda x: None if x is None else shown(f(x)))
+
+    return run
+
+
+def difference_bits(grey: Column, width: int = 9, height: int = 8) -> Column:
+    """``difference_hash`` as a text of bits, by array expressions."""
+    at = F.sequence(F.lit(0), F.lit((width - 1) * height - 1))
+    brighter = lambda i: F.get(grey, (F.floor(i / (width - 1)) * width + i % (width - 1) + 1).cast("int")) > F.get(grey, (F.floor(i / (width - 1)) * width + i % (width - 1)).cast("int"))
+    return F.array_join(F.transform(at, lambda i: F.when(brighter(i), "1").otherwise("0")), "")

@@ -30,11 +30,11 @@ def mini_epochs(rows: DataFrame, key: str, source: str, weights: dict[str, float
 
 
 def video_fraction(modality: Column, seconds: Column, rules: list[tuple[float, float]], image: float = 1.0) -> Column:
-    """What share of a data set a mixture takes: images as given, videos by the first bound that their length stays under."""
+    """What share of a data set a mixture takes: images as given, videos by the first bound that their length stays under, and none beyond the last."""
     out = None
     for bound, share in rules:
         out = F.when(seconds < bound, share) if out is None else out.when(seconds < bound, share)
-    return F.when(modality == "image", image).otherwise(out if out is not None else F.lit(0.0))
+    return F.when(modality == "image", image).otherwise(F.lit(0.0) if out is None else out.otherwise(0.0))
 
 
 def oversampled(rows: DataFrame, times: Column) -> DataFrame:

@@ -122,3 +122,9 @@ def uniform_indices(n: Column, count: int) -> Column:
     """``count`` evenly spaced indices of 0..n-1, ends included, repeats removed."""
     step = F.when(F.lit(count) > 1, (n - 1) / F.lit(max(1, count - 1))).otherwise(0.0)
     return F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.floor(i * step).cast("long")))
+
+
+def pixel_split(rows: DataFrame, pixel: str, order: int, ancestor: int, held: float = 0.02, seed: int = 0) -> DataFrame:
+    """``rows`` with ``split`` by the ancestor of their sky pixel, so neighbours stay on one side; no shuffle."""
+    above = F.floor(F.col(pixel) / F.lit(4 ** (order - ancestor))).cast("long")
+    return rows.withColumn("split", F.when(fraction_of(above, seed) < held, "val").otherwise("train"))

@@ -72,10 +72,12 @@ def ngram_index_lookup(spark, sf_dir):
 
 
 def hamming_pairs(spark, sf_dir):
-    """Embeddings as 64 sign bits; pairs within seven."""
+    """Embeddings as 64 sign bits, every tenth a second time with three bits (the second, third and last) turned (id plus a million); pairs within seven."""
     e = table(spark, sf_dir, "embeddings")
-    code = F.aggregate(F.transform("embedding", lambda x, i: F.when((x > 0) & (i < 63), F.pow(F.lit(2.0), i.cast("double")).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
-    return dedup.hamming_pairs(e.select("vec_id", code.alias("code")), "vec_id", "code", 7)
+    bits = F.transform("embedding", lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    codes = e.select("vec_id", F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)).alias("code"))
+    turned = codes.where("vec_id % 10 = 0").select((F.col("vec_id") + 1_000_000).alias("vec_id"), F.col("code").bitwiseXOR(F.expr("cast(-9223372036854775806 as bigint) + 4")).alias("code"))
+    return dedup.hamming_pairs(codes.unionByName(turned), "vec_id", "code", 7)
 
 
 def page_domains(spark, sf_dir):
@@ -140,7 +142,8 @@ SQL = {
     "ngram13_contaminated": f"select distinct doc_id from ({_REPORT})",
     "ngram13_clean": f"select doc_id, source from documents where doc_id not in (select doc_id from ({_REPORT}))",
     "ngram_index_lookup": f"with g as ({' union all '.join(f'select * from {_grams('documents', 'doc_id', n)}' for n in range(1, 5))}), f as (select distinct array_to_string({_TOKENS}[1:4], ' ') as gram from benchmark) select g.gram, count(*) as n_docs, min(doc_id) as first_doc from g join f on g.gram = f.gram group by g.gram",
-    "hamming_pairs": "with c as (select vec_id, list_sum(list_transform(range(1, 64), lambda i: case when embedding[i] > 0 then (1::hugeint << (i - 1)::int) else 0 end))::bigint as code from embeddings) select a.vec_id as a, b.vec_id as b, bit_count(xor(a.code, b.code))::bigint as distance from c a join c b on a.vec_id < b.vec_id where bit_count(xor(a.code, b.code)) <= 7",
+    "hamming_pairs": "with e as (select vec_id, list_transform(range(1, 65), lambda i: embedding[i] > 0) as s from embeddings), c as (select * from e union all select vec_id + 1000000, list_transform(range(1, 65), lambda i: case when i in (2, 3, 64) then not s[i] else s[i] end) from e where vec_id % 10 = 0), "
+    "p as (select a.vec_id as a, b.vec_id as b, len(list_filter(range(1, 65), lambda i: a.s[i] <> b.s[i]))::bigint as distance from c a join c b on a.vec_id < b.vec_id) select * from p where distance <= 7",
     "page_domains": f"select {_NETLOC} as domain, count(*) as n_pages, max(page_id) as last_page from pages group by domain",
     "url_validity": f"select page_id, regexp_matches(url, '{urls.VALID}') as valid, {_NETLOC} as netloc, trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1), '\\.[A-Za-z0-9]{{1,5}}$', ''), '[^A-Za-z]+', ' ', 'g'), ' +', ' ', 'g')) as name from pages",
     "url_dedup_latest": "select max(page_id) as page_id, regexp_replace(url, '[?#].*$', '') as base from pages group by base",

@@ -52,7 +52,7 @@ def interleave_order(spark, sf_dir):
 
 
 def mini_epochs(spark, sf_dir):
-    out = mixture.mini_epochs(_docs(spark, sf_dir).where("source in ('src0', 'src1', 'src2')"), "doc_id", "source", WEIGHTS, 8)
+    out = mixture.mini_epochs(_docs(spark, sf_dir), "doc_id", "source", WEIGHTS)
     return out.groupBy("epoch", "source").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
@@ -113,7 +113,7 @@ SQL = {
     "crawl_join": "select count(*) as n_listed, count(url) as n_matched, count(distinct url) as n_distinct from (select distinct regexp_replace(url, '[?#].*$', '') as wanted from pages) left join pages on wanted = url",
     "filled_lookup": "select doc_id, case when doc_id % 3 = 0 then 'a-' || lang when doc_id % 2 = 0 then 'b-' || lang end as lang from documents",
     "interleave_order": f"select doc_id, round(-ln(({_U.format(0)} + 0.5::double) / 4503599627370496.0::double) / case source when 'src0' then 4.0 when 'src1' then 2.0 else 1.0 end::double, 9) as order_key from documents",
-    "mini_epochs": f"with s as (select doc_id, source, case source when 'src0' then 1 when 'src1' then 2 else 4 end as n, {_U.format(17)} / 4503599627370496.0::double as u from documents where source in ('src0', 'src1', 'src2')), e as (select *, floor(u * n)::int as own, unnest(range(0, 8)) as epoch from s) select epoch::int as epoch, source, count(*) as n, sum(doc_id)::bigint as ids from e where epoch % n = own group by epoch, source",
+    "mini_epochs": f"with s as (select doc_id, source, case source when 'src0' then 1 when 'src1' then 2 when 'src2' then 4 else 1 end as n, {_U.format(17)} / 4503599627370496.0::double as u from documents), e as (select *, floor(u * n)::int as own, unnest(range(0, 50)) as epoch from s) select epoch::int as epoch, source, count(*) as n, sum(doc_id)::bigint as ids from e where epoch % n = own group by epoch, source",
     "oversampled": "select source, sum(doc_id % 4)::bigint as n, max(doc_id % 4)::int as most from documents where doc_id % 4 > 0 group by source",
     "argmax_accuracy": "with e as (select vec_id, label, unnest(embedding[1:10]) as score, generate_subscripts(embedding[1:10], 1) - 1 as tested from embeddings), r as (select *, row_number() over (partition by vec_id order by score desc, tested) as i from e) select label, count(*) as n, round(avg((tested = label)::int), 9) as accuracy from r where i = 1 group by label",
     "caption_matching": "with e as (select vec_id // 2 as x, vec_id % 2 as i, embedding[1:32]::double[] as c, embedding[33:64]::double[] as p from embeddings), s as (select a.x, a.i as i, b.i as j, list_dot_product(a.c, b.p) as s from e a join e b on a.x = b.x), w as (select x, max(s) filter (where i = 0 and j = 0) as s00, max(s) filter (where i = 0 and j = 1) as s01, max(s) filter (where i = 1 and j = 0) as s10, max(s) filter (where i = 1 and j = 1) as s11 from s group by x) select count(*) as n, round(avg((s00 > s10 and s11 > s01)::int), 9) as text_score, round(avg((s00 > s01 and s11 > s10)::int), 9) as image_score, round(avg((s00 > s10 and s11 > s01 and s00 > s01 and s11 > s10)::int), 9) as group_score from w where s11 is not null",

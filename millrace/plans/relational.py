@@ -48,8 +48,9 @@ def join_semi(spark, sf_dir):
 
 
 def join_anti(spark, sf_dir):
+    """Customers without a large order."""
     c, o = _t(spark, sf_dir, "customer", "orders")
-    return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_mktsegment")
+    return c.join(o.where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_mktsegment")
 
 
 def join_full(spark, sf_dir):
@@ -93,11 +94,11 @@ def set_operations(spark, sf_dir):
 
 
 def set_disjoint(spark, sf_dir):
-    """Whether the hash split's two sides share an id, and their sizes."""
+    """Whether the hash split's two sides share an id, and their sizes: one aggregate over the ids of both."""
     (d,) = _t(spark, sf_dir, "documents")
-    side = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 0
-    a, b = d.where(side).select("doc_id"), d.where(~side).select("doc_id")
-    return a.agg(F.count("*").alias("n_a")).join(b.agg(F.count("*").alias("n_b"))).join(a.intersect(b).agg(F.count("*").alias("n_both")))
+    side = F.conv(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 6), 16, 10).cast("long") % 10 == 0
+    sides = d.select("doc_id", side.alias("a")).groupBy("doc_id").agg(F.max("a").alias("in_a"), F.max(~F.col("a")).alias("in_b"))
+    return sides.agg(F.count_if("in_a").alias("n_a"), F.count_if("in_b").alias("n_b"), F.count_if(F.col("in_a") & F.col("in_b")).alias("n_both"))
 
 
 def win_top_per_group(spark, sf_dir):
@@ -195,7 +196,8 @@ SQL = {
     "tpch_forecast": "select round(sum(l_extendedprice * l_discount), 2) as revenue, count(*) as n from lineitem where l_discount between 0.05 and 0.07 and l_quantity < 24",
     "join_left_counts": "select c_custkey, count(o_orderkey) as n_orders, round(coalesce(sum(o_totalprice), 0), 2) as spent from customer left join orders on c_custkey = o_custkey group by 1",
     "join_semi": "select c_custkey, c_mktsegment from customer where c_custkey in (select o_custkey from orders where o_totalprice > 200000)",
-    "join_anti": "select c_custkey, c_mktsegment from customer where c_custkey not in (select o_custkey from orders)",
+    "set_disjoint": "with s as (select distinct doc_id, ('0x' || substr(sha256(doc_id::varchar), 1, 6))::bigint % 10 = 0 as a from documents) select count(*) filter (where a) as n_a, count(*) filter (where not a) as n_b, count(*) - count(distinct doc_id) as n_both from s",
+    "join_anti": "select c_custkey, c_mktsegment from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 400000)",
     "join_full": "select coalesce(s_nationkey, c_nationkey) as nation, n_suppliers, n_rich from (select s_nationkey, count(*) as n_suppliers from supplier group by 1) full join (select c_nationkey, count(*) as n_rich from customer where c_acctbal > 9000 group by 1) on s_nationkey = c_nationkey",
     "join_regroup": "select l_orderkey, string_agg(coalesce(p_name, ''), '|' order by l_linenumber, l_partkey) as names, count(p_name) as num_found, count(*) - count(p_name) as num_missing from lineitem left join (select * from part where p_size <= 25) on l_partkey = p_partkey group by 1",
     "join_as_of": "select event_id, user_id, prior from (select *, last_value(case when event_type <> 'purchase' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as prior from events) where event_type = 'purchase'",

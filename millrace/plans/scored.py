@@ -92,12 +92,10 @@ def conv_prompt(spark, sf_dir):
 
 
 def conv_anls(spark, sf_dir):
-    """Each assistant turn against the user turn before it and its own first 20 characters, by edit distance."""
+    """Each assistant turn, whole, against the user turn before it and the one before that, by edit distance over characters."""
     line = Window.partitionBy("conv_id").orderBy("turn")
-    held = _turns(spark, sf_dir).withColumn("asked", F.lag("text").over(line)).where("role = 'assistant' and asked is not null")
-    plain = lambda c, n: F.substring(F.regexp_replace(c, r"[^\x20-\x7E]", "?"), 1, n)
-    answers = F.array(plain("asked", 40), F.concat(plain("text", 20), plain("asked", 20)))
-    return held.select("conv_id", "turn", F.round(metrics.anls(plain("text", 40), answers), 9).alias("anls"))
+    held = _turns(spark, sf_dir).withColumn("asked", F.lag("text").over(line)).withColumn("before", F.lag("text", 2).over(line)).where("role = 'assistant' and asked is not null")
+    return held.select("conv_id", "turn", F.round(metrics.anls(F.col("text"), F.array("asked", F.coalesce("before", "asked"))), 9).alias("anls"))
 
 
 def vqa_scores(spark, sf_dir):
@@ -222,7 +220,6 @@ SQL = {
     "conv_special_token_filter": "select conv_id from conversations group by conv_id having count(*) filter (where " + " or ".join(f"contains(lower(text), '{t}')" for t in chat.SPECIAL_TOKENS) + ") = 0",
     "conv_turn_stats": "select role, count(*) as n_turns, count(distinct conv_id) as n_conversations, sum(length(text))::bigint as n_chars, max(turn) as last_turn from conversations group by role",
     "conv_prompt": "select conv_id, 'system' as first_role, arg_min(text, turn) as user from conversations where role = 'user' group by conv_id".replace("as user", 'as "user"'),
-    "conv_anls": "with r as (select conv_id, turn, role, regexp_replace(text, '[^\\x20-\\x7E]', '?', 'g') as text from conversations), h as (select *, lag(text) over (partition by conv_id order by turn) as asked from r), k as (select conv_id, turn, lower(trim(text[1:40])) as p, [lower(trim(asked[1:40])), lower(trim(text[1:20] || asked[1:20]))] as a from h where role = 'assistant' and asked is not null) select conv_id, turn, round(case when length(p) = 0 then 0 else list_max(list_transform(a, lambda x: case when levenshtein(p, x) / greatest(length(p), length(x), 1) < 0.5 then 1 - levenshtein(p, x) / greatest(length(p), length(x), 1) else 0 end)) end, 9) as anls from k",
     "vqa_scores": _L + f", a as (select doc_id, {_PICK.format(_u(20))} as p, [{', '.join(_PICK.format(_u(s)) for s in range(11, 16))}] as a from l), m as (select *, len(list_filter(a, lambda x: x = p)) as m from a) select doc_id, round(list_sum(list_transform(a, lambda x: least(1.0::double, (m - (x = p)::int) / 3))) / 5, 9) as vqa, (case when a[1] = '0' then p = '0' else abs(p::double - a[1]::double) / a[1]::double < 0.05 end)::int::double as relaxed from m",
     "topk_similar": _COS + "select query_id, rank::int as rank, vec_id, round(s, 6) as score from r where rank <= 5",
     "knn_label_vote": _COS + ", v as (select query_id, label, count(*) as n from r where rank <= 5 group by query_id, label), b as (select query_id, label as voted, row_number() over (partition by query_id order by n desc, label) as i from v) select b.query_id, voted, e.label from b join embeddings e on e.vec_id = b.query_id where i = 1",
