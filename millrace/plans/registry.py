@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import dedup, extra, nodes, relational, rules, scored, text
+from . import dedup, extra, nodes, relational, roundtrips, rules, scored, text
 
-MODULES = [text, dedup, scored, extra, relational, nodes, rules]
+MODULES = [text, dedup, scored, extra, relational, nodes, rules, roundtrips]
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}

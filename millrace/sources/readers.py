@@ -106,3 +106,18 @@ def settings(text: str) -> dict:
         import yaml
 
         return yaml.safe_load(text)
+
+
+def file_ranges(requests: DataFrame, path: str, file: str = "file", offset: str = "offset", length: str = "length") -> DataFrame:
+    """``requests`` with ``data``, the bytes of a file (its base name) from an offset on, and ``error`` where they can't be had.
+
+    Only files that are asked for are read, each once however many ranges it
+    has; ranges are cut by the scan's own column, without Python.
+    """
+    wanted = requests.select(F.col(file).alias("__name")).distinct()
+    held = requests.sparkSession.read.format("binaryFile").load(path).withColumn("__name", F.element_at(F.split("path", "/"), -1)).join(wanted, "__name", "left_semi")
+    ranged = requests.join(held.select("__name", "content"), F.col(file) == F.col("__name"), "left")
+    at, n = F.col(offset), F.col(length)
+    inside = (at >= 0) & (n >= 0) & (at + n <= F.length("content"))
+    error = F.when(F.col("content").isNull(), "no such file").when(~F.coalesce(inside, F.lit(False)), "range beyond the file")
+    return ranged.select(*requests.columns, F.when(error.isNull(), F.substring("content", (at + 1).cast("int"), n.cast("int"))).alias("data"), error.alias("error"))

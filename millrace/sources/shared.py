@@ -59,3 +59,8 @@ def release(held: DataFrame) -> None:
 def clear(spark: SparkSession) -> None:
     """Delete all tables that this application materialized, once its results are written."""
     _delete(spark, _own_dir(spark))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
