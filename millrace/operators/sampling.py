@@ -16,11 +16,29 @@ def fraction_of(key: Column, seed: int = 0) -> Column:
     return F.conv(F.substring(order_of(key, seed), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def hash_rank(rows: DataFrame, key: str, by: list[str], seed: int = 0) -> DataFrame:
+    """``rows`` with ``__rank``, from 1 in hash order of the key within each ``by``, and ``__total``, the rows of that.
+
+    Rows are ranked within 4096 ranges of the hash, to which the counts of the
+    ranges before are added, so a stratum however large is no one task.
+    """
+    order = order_of(F.col(key), seed)
+    held = rows.withColumns({"__order": order, "__bin": F.conv(F.substring(order, 1, 3), 16, 10).cast("int")})
+    counts = held.groupBy(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col("__bin").alias("__at")).agg(F.count("*").alias("n"))
+    own = Window.partitionBy(*[f"__by{i}" for i in range(len(by))])
+    counts = counts.withColumns({"__before": F.coalesce(F.sum("n").over(own.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "__total": F.sum("n").over(own)}).drop("n")
+    same = F.col("__bin") == F.col("__at")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    place = F.row_number().over(Window.partitionBy(*by, "__bin").orderBy("__order", key))
+    ranked = held.join(counts, same).withColumn("__rank", (place + F.col("__before")).cast("long"))
+    return ranked.select(*rows.columns, "__rank", "__total")
+
+
 def stratified_split(rows: DataFrame, key: str, stratum: str, held: float = 0.1, seed: int = 42) -> DataFrame:
     """``rows`` with ``split``: of each stratum, the first ``held`` share in hash order is ``test``."""
-    line = Window.partitionBy(stratum).orderBy(order_of(F.col(key), seed), key)
-    n = F.count("*").over(Window.partitionBy(stratum))
-    return rows.withColumn("split", F.when(F.row_number().over(line) <= F.floor(n * held + 0.5), "test").otherwise("train"))
+    ranked = hash_rank(rows, key, [stratum], seed)
+    return ranked.select(*rows.columns, F.when(F.col("__rank") <= F.floor(F.col("__total") * held + 0.5), "test").otherwise("train").alias("split"))
 
 
 def hash_split(rows: DataFrame, key: str, held: float = 0.02, seed: int = 0) -> DataFrame:
@@ -33,10 +51,18 @@ def sample(rows: DataFrame, strategy: str, key: str, by: str | None = None, seed
     if strategy == "all":
         return rows
     kind, _, amount = strategy.partition(":")
-    order = {"first": [F.col(key)], "end": [F.col(key).desc()], "random": [order_of(F.col(key), seed), F.col(key)]}[kind]
-    group = Window.partitionBy(*([by] if by else []))
-    n = F.greatest(F.lit(1), F.ceil(F.count("*").over(group) * float(amount[:-1]) / 100)) if amount.endswith("%") else F.lit(int(amount))
-    return rows.withColumns({"__n": F.row_number().over(group.orderBy(*order)), "__most": n}).where("__n <= __most").drop("__n", "__most")
+    share = float(amount[:-1]) if amount.endswith("%") else None
+    if kind == "random":
+        ranked = hash_rank(rows, key, [by] if by else [], seed)
+        most = F.greatest(F.lit(1), F.ceil(F.col("__total") * share / 100)) if share is not None else F.lit(int(amount))
+        return ranked.where(F.col("__rank") <= most).select(*rows.columns)
+    order = F.col(key) if kind == "first" else F.col(key).desc()
+    if by is None:  # a sorted limit keeps no more than so many rows of each task
+        n = int(amount) if share is None else max(1, -(-rows.count() * share // 100))
+        return rows.orderBy(order).limit(int(n))
+    group = Window.partitionBy(by)
+    most = F.greatest(F.lit(1), F.ceil(F.count("*").over(group) * share / 100)) if share is not None else F.lit(int(amount))
+    return rows.withColumns({"__n": F.row_number().over(group.orderBy(order)), "__most": most}).where("__n <= __most").drop("__n", "__most")
 
 
 def contiguous_shards(rows: DataFrame, key: str, size: int, held_shards: int = 2) -> DataFrame:
@@ -51,14 +77,12 @@ def contiguous_shards(rows: DataFrame, key: str, size: int, held_shards: int = 2
 
 def rank_all(rows: DataFrame, key: str) -> DataFrame:
     """``rows`` with ``rank`` from 1 in order of a unique key, by range partitions: each counts, then each ranks its own."""
-    bins = rows.select(F.percentile_approx(key, F.array(*[F.lit(i / 64) for i in range(1, 64)]), F.lit(1000)).alias("cuts"))
-    cut = bins.first()["cuts"] or []
-    edges = sorted(set(cut))
-    part = F.lit(0)
-    for e in edges:
-        part = part + (F.col(key) > F.lit(e)).cast("int")
+    n = max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bins = rows.select(F.percentile_approx(key, F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(10 * n)).alias("cuts"))
+    edges = sorted(set(bins.first()["cuts"] or []))
+    part = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(key))) if edges else F.lit(0)
     held = rows.withColumn("__part", part)
-    counts = held.groupBy("__part").agg(F.count("*").alias("n"))  # 64 rows at most
+    counts = held.groupBy("__part").agg(F.count("*").alias("n"))  # as many rows as ranges
     before = counts.withColumn("__before", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     own = F.row_number().over(Window.partitionBy("__part").orderBy(key))
     return held.join(F.broadcast(before), "__part").withColumn("rank", (own + F.col("__before")).cast("long")).drop("__part", "__before")

@@ -25,53 +25,38 @@ def centroids(rows: DataFrame, group: str, vector: str) -> DataFrame:
     return rows.select(group, F.posexplode(vector).alias("pos", "x")).groupBy(group, "pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
-def top_k(rows: DataFrame, is_query: Column, key: str, vector: str, k: int = 5, slice_rows: int = 4096) -> DataFrame:
+def top_k(rows: DataFrame, is_query: Column, key: str, vector: str, k: int = 5, query_block: int = 4096, row_block: int = 50_000) -> DataFrame:
     """(query_id, rank, key, score): each query's k rows of largest cosine, itself left out, ties to smaller ids.
 
-    Queries go out in slices of ``slice_rows`` (a few MB each), so what is
-    broadcast is bounded; every batch of rows keeps its own k best a query
-    before anything is shuffled.
+    Queries and rows are dealt into blocks, and each pair of blocks is one
+    matrix product in a task of its own, of which each query's k best (and
+    ties) go on: nothing passes through the driver, and blocks are bounded.
     """
-    import numpy as np
-
-    spark = rows.sparkSession
     whole = rows.where(F.col(vector).isNotNull() & F.exists(vector, lambda x: x != 0)).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
-    out = None
-    held: list = []
-
-    def slices():
-        for r in whole.where("q").select("id", "v").toLocalIterator():
-            held.append((r["id"], r["v"]))
-            if len(held) == slice_rows:
-                yield list(held)
-                held.clear()
-        yield list(held)
-
-    for part in slices():
-        ids = np.array([i for i, _ in part], dtype=np.int64)
-        q = np.array([v for _, v in part], dtype=np.float64).reshape(len(part), -1)
-        sent = spark.sparkContext.broadcast((ids, q, np.sqrt((q * q).sum(axis=1))))
-
-        def run(batches, sent=sent):
-            import numpy as np
-            import pyarrow as pa
-
-            qid, q, qn = sent.value
-            for batch in batches:
-                if not len(batch) or not len(qid):
-                    continue
-                own = np.asarray(batch.column(0))
-                v = np.array(batch.column(1).to_pylist(), dtype=np.float64)
-                score = (q @ v.T) / (qn[:, None] * np.sqrt((v * v).sum(axis=1))[None, :])
-                score[qid[:, None] == own[None, :]] = -np.inf
-                best = np.argsort(-score, axis=1, kind="stable")[:, :k] if len(own) <= 4 * k else np.argpartition(-score, k - 1, axis=1)[:, :k]
-                # Ties at the edge: take every row as good as the k-th best.
-                least = np.take_along_axis(score, best, axis=1).min(axis=1)
-                a, b = np.nonzero((score >= least[:, None]) & (score > -np.inf))
-                yield pa.RecordBatch.from_arrays([pa.array(qid[a]), pa.array(own[b]), pa.array(score[a, b])], names=["query_id", "id", "score"])
-
-        one = whole.select("id", "v").mapInArrow(run, "query_id long, id long, score double")
-        out = one if out is None else out.unionByName(one)
+    n = whole.agg(F.count("*").alias("rows"), F.count_if("q").alias("queries")).first()
+    deals, blocks = max(1, -(-n["queries"] // query_block)), max(1, -(-n["rows"] // row_block))
+    part = lambda of, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    held = whole.select("id", "v", part(blocks, 1).alias("i"), every(deals).alias("j"))
+    asked = whole.where("q").select(F.col("id").alias("qid"), F.col("v").alias("w"), part(deals, 2).alias("qj"), every(blocks).alias("qi"))
+
+    def compare(_, table, queries):
+        import numpy as np
+        import pyarrow as pa
+
+        kinds = {"query_id": pa.int64(), "id": pa.int64(), "score": pa.float64()}
+        if not len(table) or not len(queries):
+            return pa.table({c: pa.array([], t) for c, t in kinds.items()})
+        (own, v), (qid, q) = ((np.asarray(x.column("id").combine_chunks()), np.array(x.column("v").to_pylist(), dtype=np.float64)) for x in (table, queries.rename_columns(["id", "v", *queries.column_names[2:]])))
+        score = (q @ v.T) / (np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))[None, :])
+        score[qid[:, None] == own[None, :]] = -np.inf
+        best = np.argpartition(-score, min(k, len(own)) - 1, axis=1)[:, :k]
+        # Ties at the edge: take every row as good as the k-th best.
+        least = np.take_along_axis(score, best, axis=1).min(axis=1)
+        a, b = np.nonzero((score >= least[:, None] - 1e-12) & (score > -np.inf))
+        return pa.table({"query_id": pa.array(qid[a]), "id": pa.array(own[b]), "score": pa.array(score[a, b])})
+
+    out = held.groupBy("i", "j").cogroup(asked.groupBy("qi", "qj")).applyInArrow(compare, "query_id long, id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), F.col("id"))
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
 

@@ -44,8 +44,7 @@ def label_ndcg(spark, sf_dir):
 
 def label_folds(spark, sf_dir):
     """Five folds, stratified by label: counts of each."""
-    line = Window.partitionBy("quality").orderBy(sampling.order_of(F.col("doc_id"), 3), "doc_id")
-    held = _labelled(spark, sf_dir).withColumn("fold", F.pmod(F.row_number().over(line), F.lit(5)).cast("int"))
+    held = sampling.hash_rank(_labelled(spark, sf_dir), "doc_id", ["quality"], 3).withColumn("fold", F.pmod("__rank", F.lit(5)).cast("int"))
     return held.groupBy("fold", "quality").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= 3).alias("n_high"))
 
 
