@@ -5,6 +5,7 @@ import hashlib
 import json
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from millrace.llm import components, decontaminate, mixing, nearest, pitman_yor, quality, simhash, suffix, toxicity, urlfilter, warc
+from millrace.llm import common, components, decontaminate, mixing, nearest, pitman_yor, quality, simhash, suffix, toxicity, urlfilter, warc
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -144,6 +145,56 @@ def test_warc_errors_and_files(spark, tmp_path):
     assert warc.derivatives(latin)[1][4].decode() == "café"
 
 
+def test_warc_broken_pages_take_time_in_proportion():
+    for bad in ("<a x ", "<script>", "<title>", "<!--", "<!", "<meta x ", "<svg><p "):
+        began = time.time()
+        page = bad * 50_000
+        warc.plain_text(page), warc._title(page), warc._page_links(page, "http://x/"), warc.decode(page.encode(), "")
+        assert time.time() - began < 10, bad
+    assert warc.plain_text("a<script>b</script >c<!-- e --><p>f</p><svg>g</svg>3 < 4<style>d") == "a c\nf\n3 < 4d"
+
+
+def test_warc_matches_brute_force_text(spark):
+    """Plain text by the standard library's parser, block tags as line ends."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.skip = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in ("script", "style", "head")
+            self.out.append("\n" if tag in ("p", "div", "br", "h1", "li", "ul", "body", "html") else "")
+
+        def handle_endtag(self, tag):
+            if tag in ("script", "style", "head"):  # what isn't shown parts words
+                self.skip -= 1
+                self.out.append(" ")
+            self.out.append("\n" if tag in ("p", "div", "h1", "li", "ul", "body", "html") else "")
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.out.append(data.replace("\n", " "))
+
+    rng = np.random.default_rng(4)
+    pages = []
+    for i in range(40):
+        inner = "".join(f"<{t}>{' '.join(rng.choice(['one', 'two &amp; x', 'thr&eacute;e', '  '], 4))}</{t}>" for t in rng.choice(["p", "div", "b", "h1", "i", "script"], 8))
+        pages.append((i, "http://h/", f"<html><head><title>t</title></head><body>{inner}</body></html>"))
+    pages += [(50, "http://h/", "x " * 300_000), (51, None, None), (0, *pages[0][1:])]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("record_type", "error", "payload_digest", "headers")})
+    out = warc.derive(warc.responses(df)).where("record_type = 'conversion'").collect()
+    assert len(out) == len(pages) and {r["headers"] for r in out} == {"clash"}
+    html = {i: h for i, _, h in pages}
+    for r in out:
+        plain = Plain()
+        plain.feed(html[r["page_id"]] or "")
+        want = re.sub(r" ?\n[ \n]*", "\n", re.sub(" +", " ", "".join(plain.out))).strip()
+        assert warc.parse_record(bytes(r["record"]))[1].decode() == want
+    assert warc.derive(warc.responses(df.limit(0))).count() == 0
+
+
 # 3. Nearest neighbours
 
 
@@ -223,6 +274,20 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 100 for i in range(101, 181)}, 900: 7}
 
 
+def test_components_of_hubs(spark):
+    edges = [(0, i) for i in range(1, 400)] + [(1000, i) for i in range(300, 700)] + [(5000 + i, 9000) for i in range(100)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
+    assert got == {**{i: 0 for i in [*range(1, 700), 1000]}, **{i: 5000 for i in [*range(5001, 5100), 9000]}}
+
+
+def test_block_count(spark):
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [common.block_count(spark, n) for n in (0, 10, 3 << 20, 1 << 30)] == [1, 1, min(parts, 3), 64]
+    for n in (1 << 40, 1 << 47):
+        assert common.block_count(spark, n) ** 2 <= n / common.MESSAGE_BYTES
+    assert common.block_count(spark, 1 << 37) == 1 << 13
+
+
 # 5. Decontamination
 
 
@@ -468,6 +533,39 @@ def test_ordinal_thresholds_rise():
     assert [round(model.expected(np.array([10 + g]))) for g in range(3)] == [0, 1, 2]
 
 
+def test_labels_held_out_are_never_learned_from(labelled):
+    docs, labels = labelled
+    key = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    turned = lambda n, c: labels.withColumn(c, F.when(key % n == 1, 1 - F.col(c)).otherwise(F.col(c)))
+    score = lambda x: {r["doc_id"]: r["score"] for r in quality.score_quality(docs, x).collect()}
+    assert score(labels) == score(turned(3, "quality"))
+    grade = lambda x: {r["doc_id"]: r["severity"] for r in toxicity.grade(docs, x).collect()}
+    assert grade(labels) == grade(turned(5, "toxic"))
+
+
+def test_repeated_rows_and_clashing_names_in_the_classifiers(labelled):
+    docs, labels = labelled
+    extra = docs.unionByName(docs.where("doc_id < 3")).withColumns({c: F.lit("clash") for c in ("y", "id", "t", "b", "x", "quality", "toxic", "severity", "held_out", "__id")})
+    a = quality.score_quality(extra, labels)
+    assert a.count() == docs.count() + 3 and set(a.columns) == set(extra.columns)
+    twice: dict = {}
+    for r in a.where("doc_id < 3").collect():
+        twice.setdefault(r["doc_id"], set()).add(round(r["score"], 9))
+    assert all(len(x) == 1 for x in twice.values())
+    b = toxicity.grade(extra, labels)
+    assert b.count() == docs.count() + 3 and b.where("doc_id < 3").select("doc_id", "severity").distinct().count() == 3
+
+
+def test_two_grades_are_spread_to_three():
+    rng = np.random.default_rng(0)
+    y = (rng.random(800) < 0.3).astype(int)
+    rows = [np.unique(np.concatenate((rng.integers(100, 900, 12), rng.choice([1, 2, 3, 4], rng.integers(1, 5), replace=False) if g else []))).astype(np.int64) for g in y]
+    model = toxicity.OrdinalModel(rows, y, spread=True)
+    assert len(model.thresholds) == 2 and model.thresholds[0] < model.thresholds[1] and model.grades.tolist() == [0, 1, 2]
+    mean = lambda ids: model.expected(np.array(ids))
+    assert mean([200, 300]) < 0.5 < mean([1, 200]) < mean([1, 2, 3, 4])
+
+
 # 10. URL filters
 
 
@@ -480,3 +578,22 @@ def test_url_filter_is_as_of_the_fetch(spark):
     assert sorted((r["page_id"], r["lists"]) for r in out.where("blocked").collect()) == [(1, "l"), (2, "l"), (4, "l"), (5, "m"), (7, "m")]
     assert out.count() == 15 and urlfilter.filter_urls(captures.limit(0), entries).count() == 0
     assert urlfilter.filter_urls(captures, entries.limit(0)).where("blocked").count() == 0
+
+
+def test_url_filter_hosts_and_clashing_names(spark):
+    entries = spark.createDataFrame([("l", "domain", "bad.com", "add", "2024-01-01 00:00:00"), ("l", "domain", "[::1]", "add", "2024-01-01 00:00:00")], "list string, kind string, pattern string, action string, at string").withColumn("at", F.to_timestamp("at"))
+    seen = [(1, "http://bad.com./x"), (2, "http://[::1]:80/"), (3, "http://ok.com/" + "x" * 200_000), (4, "")]
+    captures = spark.createDataFrame(seen, "page_id long, url string").withColumn("fetched_at", F.lit("2024-02-01").cast("timestamp")).withColumns({c: F.lit("clash") for c in ("host", "lists", "n_active", "blocked", "row", "at", "held", "active", "prefix_key", "by_host")})
+    out = urlfilter.filter_urls(captures, entries)
+    assert len(out.columns) == len(set(out.columns)) and set(captures.columns) <= set(out.columns)
+    assert {r["page_id"]: (r["host"], r["blocked"], r["row"]) for r in out.collect()} == {1: ("bad.com", True, "clash"), 2: ("[::1]", True, "clash"), 3: ("ok.com", False, "clash"), 4: (None, False, "clash")}
+
+
+def test_ids_of_any_type_and_clashing_names(docs, bench):
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id"))).withColumns({c: F.lit("clash") for c in ("target", "spans", "items", "cell", "copies", "size", "taken", "source_size", "rank", "b", "id", "__keep", "__keep0", "sid", "root", "held_out", "n_words")})
+    n = docs.count()
+    assert suffix.repeats(named).count() == pitman_yor.score(named).count() == simhash.simhash_components(named).count() == decontaminate.contamination(named, bench).count() == n
+    for out in (suffix.cut_repeats(named), simhash.simhash_dedup(named), simhash.near_dedup(named), decontaminate.decontaminate(named, bench)):
+        assert out.columns == named.columns and out.where("doc_id = 'd100'").count() <= 1
+    mixed = mixing.mix(named, columns=[c for c in named.columns if c not in ("doc_id", "text")])
+    assert mixed.count() == n and len(mixed.columns) == len(set(mixed.columns))
