@@ -183,3 +183,9 @@ def open_answer_correct(response: str | None, answers: list[str]) -> bool:
             if any(isinstance(c, float) and abs(c - number) < 5e-3 for c in found):
                 return True
     return False
+
+
+def trigrams(name: Column) -> Column:
+    """The distinct three-letter pieces of a name, its ends marked."""
+    t = F.concat(F.lit("^"), F.lower(name), F.lit("$"))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3))))

@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Inside a character class: punctuation, symbols (emoji too), numbers and blanks.
-SPECIAL = r"\p{P}\p{S}\p{N}\p{Z}\x00-\x20\x7F-\x9F"
+#: Characters beyond ASCII that are special, some of them blanks: fixed values.
+OTHER_SPECIAL = (
+    "    　    ￼’“”–ー一▬…✦�­£​•€«»°·═"
+    "×士＾˘⇓↓↑←→（）§″′´¿−±∈﻿¢ø‚„½¼¾¹²³―⁃，ˌ¸‹›ʺˈʻ¦‐⠀‰‑≤≥‖"
+    "◆●■►▼▲▴∆▻¡★☆✱ːº。¯˜¥ɪ≈†上ン：∼⁄・♡✓⊕․．⋅÷１‟；،、¨ाাी्े◦˚"
+    "゜ʼ≖ʼ¤ッツシ℃√！【】‿∞➤～πه۩☛₨➩☻๑٪♥ıॽ《‘©﴿٬？▷Г♫∟™ª₪®「—❖"
+    "」﴾》"
+)
+#: Emoji of one character, by the blocks that hold them.
+EMOJI = r"\x{231A}\x{231B}\x{23E9}-\x{23F3}\x{23F8}-\x{23FA}\x{25FB}-\x{25FE}\x{2600}-\x{27BF}\x{2934}\x{2935}\x{2B05}-\x{2B07}\x{2B1B}\x{2B1C}\x{2B50}\x{2B55}\x{3030}\x{303D}\x{3297}\x{3299}\x{1F000}-\x{1FAFF}"
+#: Inside a character class: ASCII punctuation, digits and blanks, the characters above and emoji.
+SPECIAL = r"\x09-\x0D\x20-\x40\x5B-\x60\x7B-\x7E" + OTHER_SPECIAL + EMOJI
 #: Blanks that count as a space when texts are normalised: fixed values.
 SPACES = "\u00a0\u0084\ufffc\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 #: Unicode punctuation and its plain form: fixed values.

@@ -79,8 +79,10 @@ class _Place:
 class _Reader(HTMLParser):
     """Collects (kind, value, place, attributes) nodes of kept content; the work follows the length of the page, not its depth."""
 
-    def __init__(self):
+    def __init__(self, keep_pictures: bool = False, end_ids=frozenset()):
         super().__init__(convert_charrefs=True)
+        self.keep_pictures, self.end_ids = keep_pictures, end_ids
+        self.shut: int | None = None  # depth of the element whose rest goes
         self.open: list[tuple[str, bool, _Place | None]] = []  # tag, whether its content is kept, the innermost place
         self.count: Counter = Counter()
         self.nodes: list[tuple] = []
@@ -95,14 +97,16 @@ class _Reader(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         named = dict(attrs)
+        if self.shut is None and named.get("id") in self.end_ids:
+            self.shut = len(self.open)
         if tag in BLOCKS and self.count["p"]:
             self._close({"p"})
         if tag in CLOSES:
             self._close(CLOSES[tag], within={"table", "ul", "ol", "dl"})
-        kept = (self.open[-1][1] if self.open else True) and self._kept(tag, named)
+        kept = (self.open[-1][1] if self.open else True) and self._kept(tag, named) and self.shut is None
         if tag == "br" and kept:
             self.nodes.append(("text", "\n", self._place(), {}))
-        elif tag in {"img", "video", "audio"} and kept:
+        elif tag in {"img", "video", "audio"} and (kept or (tag == "img" and self.keep_pictures and self.shut is None)):
             self.nodes.append(("media", tag, self._place(), named))
         if tag not in VOID:
             self.open.append((tag, kept, self._place() if tag in STYLE else _Place(self._place(), tag, named)))
@@ -122,6 +126,8 @@ class _Reader(HTMLParser):
         for tag, _, _ in self.open[i:]:
             self.count[tag] -= 1
         del self.open[i:]
+        if self.shut is not None and i < self.shut:
+            self.shut = None  # the element around it has ended
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -132,7 +138,7 @@ class _Reader(HTMLParser):
         self._close({tag})
 
     def handle_data(self, data):
-        if self.open and not self.open[-1][1]:
+        if self.shut is not None or (self.open and not self.open[-1][1]):
             return
         place = self._place()
         if place and place.dated:
@@ -172,9 +178,13 @@ def _uncommented(page: str) -> str:
     return "".join([*out, page[at:]])
 
 
-def nodes_of(page: str | None) -> list[dict]:
-    """The page's texts and media in order: dicts with text, or src, alt, width and height."""
-    reader = _Reader()
+def nodes_of(page: str | None, keep_pictures: bool = False, end_ids=frozenset()) -> list[dict]:
+    """The page's texts and media in order: dicts with text, or src, alt, width and height.
+
+    ``keep_pictures`` keeps pictures in elements that go otherwise; an element
+    with one of ``end_ids`` goes with all that follows it in the element around.
+    """
+    reader = _Reader(keep_pictures, frozenset(end_ids))
     reader.feed(_uncommented(page or ""))
     reader.close()
     out: list[dict] = []
@@ -215,7 +225,7 @@ def nodes_of(page: str | None) -> list[dict]:
 NODE = "array<struct<text: string, src: string, alt: string, width: string, height: string>>"
 
 
-def extract(pages: DataFrame, html: str = "html") -> DataFrame:
+def extract(pages: DataFrame, html: str = "html", keep_pictures: bool = False, end_ids=()) -> DataFrame:
     """``pages`` with ``nodes`` and ``html_error`` (null if the page was read) in place of the HTML."""
     rest = [c for c in pages.columns if c not in (html, "nodes", "html_error")]
     rows = pages.select(*rest, F.col(html).alias("__html"))
@@ -229,7 +239,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
             nodes, errors = [], []
             for page in batch.column(n).to_pylist():
                 try:
-                    nodes.append(nodes_of(page))
+                    nodes.append(nodes_of(page, keep_pictures, end_ids))
                     errors.append(None)
                 except (ValueError, AssertionError, RecursionError) as e:
                     nodes.append([])

@@ -102,3 +102,8 @@ def split_at_markers(docs: DataFrame, key: str = "doc_id", marker: str = MARKER)
     part = F.sum(is_marker.cast("int")).over(Window.partitionBy(key).orderBy("pos"))
     held = each.withColumn("part", part).where(~is_marker)
     return held.groupBy(key, "part").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "n"))), lambda x: x["n"]).alias("nodes"))
+
+
+def sources(nodes: Column) -> Column:
+    """Pictures as their addresses: what a published copy holds in place of bytes; null where a text stands."""
+    return F.transform(nodes, lambda n: n["src"])

@@ -62,3 +62,19 @@ def filled(rows: DataFrame, key: str, shards: list[DataFrame], value: str) -> Da
 
 def visible_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(html, "(?s)<[^>]*>", " "), r"\s+", " "))
+
+
+def nearest_names(asked: DataFrame, held: DataFrame, key: str, name: str, held_key: str, held_name: str) -> DataFrame:
+    """(key, match, found): for each name that of the index sharing most trigrams (ties: fewer letters, then the lesser key), accepted only if both are equal.
+
+    Names meet by an equi-join on trigrams, counts of which are summed before anything is ranked.
+    """
+    from ..functions.texts import trigrams
+
+    a = asked.select(F.col(key).alias("k"), F.explode(trigrams(F.col(name))).alias("g"))
+    b = held.select(F.col(held_key).alias("m"), F.length(held_name).alias("len"), F.explode(trigrams(F.col(held_name))).alias("g"))
+    shared = a.join(b, "g").groupBy("k", "m", "len").agg(F.count("*").alias("n"))
+    best = shared.groupBy("k").agg(F.max(F.struct("n", (-F.col("len")).alias("l"), (-F.col("m")).alias("o"))).alias("b")).select(F.col("k").alias("__k"), (-F.col("b.o")).alias("match"))
+    found = asked.join(best, F.col(key) == F.col("__k"), "left").drop("__k")
+    names = held.select(F.col(held_key).alias("__m"), F.col(held_name).alias("__name"))
+    return found.join(names, F.col("match") == F.col("__m"), "left").select(key, "match", F.coalesce(F.col(name) == F.col("__name"), F.lit(False)).alias("found"))

@@ -119,27 +119,63 @@ def pack_next_fit(rows: DataFrame, group: str, order: str, size: str, room: int)
     return rows.select(group, order, size).groupBy(group).applyInArrow(run, f"{group} {kinds[group]}, {order} {kinds[order]}, bin long, offset long")
 
 
-def pack_first_fit(rows: DataFrame, group: str, order: str, size: str, room: int) -> DataFrame:
-    """(group, order, bin): each item in the first open bin with room; items beyond ``room`` are left out (bin null)."""
+def pack_first_fit(rows: DataFrame, group: str, order: str, size: str, room: int, count: str | None = None, most: int | None = None) -> DataFrame:
+    """(group, order, bin): each item in the first open bin with room for its size, and for its ``count`` (pictures, say) up to ``most``.
+
+    Items beyond ``room`` or ``most`` are left out (bin null). The first bin
+    with room is found in a tree over the bins, so an item costs the logarithm
+    of their number where only sizes count.
+    """
     import pyarrow as pa
 
     def run(table):
         t = table.sort_by(order)
-        left, bins = [], []
-        for n in t.column(size).to_pylist():
-            n = n or 0
-            if n > room:
+        sizes = [n or 0 for n in t.column(size).to_pylist()]
+        counts = [n or 0 for n in t.column(count).to_pylist()] if count else [0] * len(sizes)
+        limit = most if most is not None else 0
+        width = 1 << max(0, len(sizes) - 1).bit_length()
+        tree, held, open_ = [-1] * (2 * width), [0] * width, 0  # the most room below each node, -1 where no bin is open; what bins hold of the second size
+        bins = []
+        for n, k in zip(sizes, counts, strict=True):
+            if n > room or (most is not None and k > limit):
                 bins.append(None)
                 continue
-            at = next((i for i, x in enumerate(left) if x >= n), len(left))
-            if at == len(left):
-                left.append(room)
-            left[at] -= n
+            at, stack = -1, [1]
+            while stack:  # leftmost leaf with room for both
+                x = stack.pop()
+                if tree[x] < n:
+                    continue
+                if x >= width:
+                    if most is None or held[x - width] + k <= limit:
+                        at = x - width
+                        break
+                    continue
+                stack += [2 * x + 1, 2 * x]
+            if at < 0:
+                at, open_ = open_, open_ + 1
+                left = room
+            else:
+                left = tree[at + width]
+            held[at] += k
+            x = at + width
+            tree[x] = left - n
+            while x > 1:
+                x //= 2
+                tree[x] = max(tree[2 * x], tree[2 * x + 1])
             bins.append(at)
         return pa.table({group: t.column(group), order: t.column(order), "bin": pa.array(bins, pa.int64())})
 
     kinds = dict(rows.dtypes)
-    return rows.select(group, order, size).groupBy(group).applyInArrow(run, f"{group} {kinds[group]}, {order} {kinds[order]}, bin long")
+    return rows.select(group, order, size, *([count] if count else [])).groupBy(group).applyInArrow(run, f"{group} {kinds[group]}, {order} {kinds[order]}, bin long")
+
+
+def pack_whole(rows: DataFrame, group: str, order: str, size: str, room: int) -> DataFrame:
+    """``pack_next_fit`` of whole objects: also where each starts and ends in its bin, and the padding behind the bin's last. Raises for an object beyond ``room``."""
+    packed = pack_next_fit(rows.withColumn(size, F.when(F.col(size) > room, F.raise_error(F.concat(F.lit("an object is longer than the room: "), F.col(size).cast("string"))).cast("int")).otherwise(F.col(size))), group, order, size, room)
+    sized = packed.join(rows.select(F.col(group).alias("__g"), F.col(order).alias("__o"), F.col(size).alias("__n")), F.col(group).eqNullSafe(F.col("__g")) & (F.col(order) == F.col("__o"))).drop("__g", "__o")
+    last = F.max(F.col("offset") + F.col("__n")).over(Window.partitionBy(group, "bin"))
+    end = F.col("offset") + F.col("__n")
+    return sized.select(group, order, "bin", "offset", end.cast("long").alias("end"), F.when(end == last, F.lit(room) - end).otherwise(0).cast("long").alias("padding"))
 
 
 def uniform_indices(n: Column, count: int) -> Column:
@@ -150,5 +186,5 @@ def uniform_indices(n: Column, count: int) -> Column:
 
 def pixel_split(rows: DataFrame, pixel: str, order: int, ancestor: int, held: float = 0.02, seed: int = 0) -> DataFrame:
     """``rows`` with ``split`` by the ancestor of their sky pixel, so neighbours stay on one side; no shuffle."""
-    above = F.floor(F.col(pixel) / F.lit(4 ** (order - ancestor))).cast("long")
+    above = F.shiftright(F.col(pixel).cast("long"), 2 * (order - ancestor))
     return rows.withColumn("split", F.when(fraction_of(above, seed) < held, "val").otherwise("train"))

@@ -80,6 +80,12 @@ def node_attach(spark, sf_dir):
     return found.select("doc_id", F.col("num_found"), F.col("num_not_found"), F.sha2(held, 256).alias("bytes_sha256"))
 
 
+def node_sources(spark, sf_dir):
+    """Published copies: pictures as addresses."""
+    held = _interleaved(spark, sf_dir).select("doc_id", nodes.sources(F.col("nodes")).alias("s"))
+    return held.select("doc_id", F.size(F.filter("s", lambda x: x.isNotNull())).cast("long").alias("n_images"), F.sha2(F.array_join("s", "|", "-"), 256).alias("sources_sha256"))
+
+
 def image_filter(spark, sf_dir):
     """Formats, sizes and shapes of pictures described by parts."""
     k = F.col("p_partkey")
@@ -97,7 +103,7 @@ def image_md5_dedup(spark, sf_dir):
     return dedup.keep_first(d, F.col("md5"), [F.col("doc_id")]).select("doc_id", "md5")
 
 
-QUERIES = {f.__name__: f for f in (node_merge, node_repeated_markers, node_last_marker, node_split, node_captions, node_filters, node_first_images, node_opt_out, node_attach, image_filter, image_md5_dedup)}
+QUERIES = {f.__name__: f for f in (node_merge, node_repeated_markers, node_last_marker, node_split, node_captions, node_filters, node_first_images, node_opt_out, node_attach, node_sources, image_filter, image_md5_dedup)}
 
 _LINES = "(select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as i from documents)"
 _NODES = f"n as (select doc_id, i, case when length(x) % 5 = 0 then 'https://img.example/' || (length(x) % 7) || '.jpg' end as src, case when length(x) % 5 <> 0 then case when length(x) % 11 = 0 then '{MARK}' else x end end as text from {_LINES})"
@@ -116,6 +122,7 @@ SQL = {
     "node_first_images": f"with {_NODES}, k as (select *, row_number() over (partition by doc_id, src order by i) as place from n) select doc_id, count(*) as n_nodes, {_SHOW} as nodes_sha256 from k where src is null or place = 1 group by doc_id",
     "node_opt_out": f"with {_NODES}, k as (select * from n where src is null or src not in ('https://img.example/0.jpg', 'https://img.example/3.jpg')) select d.doc_id, count(k.i) as n_nodes, {_SHOW} as nodes_sha256 from (select doc_id from documents) d left join k on d.doc_id = k.doc_id group by d.doc_id",
     "node_attach": f"with {_NODES} select doc_id, count(*) filter (where substr(src, 21, 1) < '5') as num_found, count(*) filter (where substr(src, 21, 1) >= '5') as num_not_found, sha256(coalesce(string_agg('<' || substr(src, 21, 1) || '>', '' order by i) filter (where substr(src, 21, 1) < '5'), '')) as bytes_sha256 from n group by doc_id",
+    "node_sources": f"with {_NODES} select doc_id, count(src) as n_images, sha256(string_agg(coalesce(src, '-'), '|' order by i)) as sources_sha256 from n group by doc_id",
     "image_filter": "with k as (select p_partkey, ['jpg', 'png', 'gif', 'webp', null][p_partkey % 5 + 1] as kind, (p_partkey * 37 % 1500)::double as w, (p_partkey * 53 % 1500)::double as h, round_even((p_partkey * 37 % 1500)::double * (p_partkey % 120) / 100, 0) as shown_w, case when p_partkey % 3 < 2 then (p_partkey % 900)::double end as shown_h from part) "
     "select p_partkey, shown_w, shown_h from k where (kind is null or kind in ('jpg', 'png', 'webp')) and w between 150 and 20000 and h between 150 and 20000 and shown_w between 150 and 20000 and coalesce(shown_h between 150 and 20000, true) and w / h between 0.5 and 2",
     "image_md5_dedup": "select min(doc_id) as doc_id, m as md5 from (select doc_id, md5(string_split(text, chr(10))[1]) as m from documents) group by m",

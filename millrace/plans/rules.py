@@ -308,9 +308,44 @@ def perplexity_filter(spark, sf_dir):
     return found.where("perplexity <= 1500")
 
 
+def fuzzy_names(spark, sf_dir):
+    """Supplier names, every third with a letter missing, looked up among all names by shared trigrams."""
+    from ..operators import pairs
+
+    n = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    asked = n.select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, F.expr("substring(s_name, 2)")).otherwise(F.col("s_name")).alias("asked"))
+    return pairs.nearest_names(asked, n, "s_suppkey", "asked", "s_suppkey", "s_name")
+
+
+def caption_first_word(spark, sf_dir):
+    """The first word of each turn against the roles as references."""
+    t = table(spark, sf_dir, "conversations")
+    return t.select("conv_id", "turn", metrics.first_word_match(F.concat(F.col("role"), F.lit("! "), F.col("text")), F.array(F.lit("User"), F.lit(" assistant "))).alias("matched"))
+
+
+def packed_with_images(spark, sf_dir):
+    """Documents in bins of 3000 characters and six pictures at most (here: of a hundred ids a group)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 100).alias("g"), F.col("n_chars").alias("n"), (F.col("doc_id") % 4).alias("k"))
+    return sampling.pack_first_fit(d, "g", "doc_id", "n", 3000, "k", 6)
+
+
+def packed_whole(spark, sf_dir):
+    """Whole documents up to 4000 characters behind one another, with positions and padding."""
+    d = table(spark, sf_dir, "documents").where("n_chars <= 4000").select("doc_id", F.floor(F.col("doc_id") / 100).alias("g"), F.col("n_chars").alias("n"))
+    return sampling.pack_whole(d, "g", "doc_id", "n", 4000)
+
+
+def ridge_fit(spark, sf_dir):
+    """A vector's last component from its first eight: the penalty chosen and the determination on rows never seen."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", *[F.element_at("embedding", i + 1).alias(f"x{i}") for i in range(8)], (F.element_at("embedding", 1) * 2 + F.element_at("embedding", 64)).alias("y"))
+    found = metrics.ridge_selected(e, "vec_id", [f"x{i}" for i in range(8)], "y")
+    return spark.createDataFrame([(found["penalty"], round(found["r2"], 9), found["n_test"])], "penalty double, r2 double, n_test long")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        fuzzy_names, caption_first_word, packed_with_images, packed_whole, ridge_fit,
         text_articles, text_sections, text_ends, text_code, text_gold, text_cloze, text_shared_keys, text_choices, text_tables, text_answers, text_tool_calls, text_verdicts, math_answers, open_answers, reply_scores,
         constraint_conflicts, constraint_arguments, constraint_strict, conv_masked, conv_merged, conv_fits, mails, first_reply, decoded_names, projected, zipped, annotation_branches, success_rates,
         vector_softmax, vector_patches, flux_scaled, sizes_and_weights, clean_redshifts, video_fractions, pixel_overlap, pixel_split, image_difference, image_hashes, perplexity_filter,
@@ -372,5 +407,11 @@ SQL = {
     "pixel_overlap": f"select id, (pixel_a >> (2 * (order_a - least(order_a, order_b)))) = (pixel_b >> (2 * (order_b - least(order_a, order_b)))) as overlap from {_sql('pixels')}",
     "pixel_split": "select event_id, case when ('0x' || substr(sha256('0:' || (event_id // 256)::varchar), 1, 13))::bigint / 4503599627370496.0::double < 0.1 then 'val' else 'train' end as split from events",
     "image_difference": "with h as (select vec_id, array_to_string(list_transform(range(0, 64), lambda i: case when round(embedding[((i // 8) * 9 + i % 8 + 1) % 64 + 1] * 3.0::double) > round(embedding[((i // 8) * 9 + i % 8) % 64 + 1] * 3.0::double) then '1' else '0' end), '') as bits from embeddings) select vec_id, bits, bits in (select bits from h where vec_id % 10 = 0) as in_evaluation from h",
+    "fuzzy_names": "with q as (select s_suppkey, case when s_suppkey % 3 = 0 then s_name[2:] else s_name end as asked from supplier), a as (select distinct s_suppkey, unnest(list_transform(range(1, length(asked) + 1), lambda i: substr('^' || lower(asked) || '$', i, 3))) as g from q), b as (select distinct s_suppkey as m, s_name, unnest(list_transform(range(1, length(s_name) + 1), lambda i: substr('^' || lower(s_name) || '$', i, 3))) as g from supplier), "
+    "s as (select a.s_suppkey, b.m, b.s_name, count(*) as n from a join b on a.g = b.g group by all), r as (select *, row_number() over (partition by s_suppkey order by n desc, length(s_name), m) as place from s) select q.s_suppkey, r.m as match, coalesce(q.asked = r.s_name, false) as found from q left join r on q.s_suppkey = r.s_suppkey and r.place = 1",
+    "caption_first_word": "select conv_id, turn, (role in ('user', 'assistant'))::int as matched from conversations",
+    "packed_whole": "with recursive d as (select doc_id, doc_id // 100 as g, n_chars as n, row_number() over (partition by doc_id // 100 order by doc_id) as i from documents where n_chars <= 4000), "
+    "w as (select doc_id, g, n, i, 0 as bin, 0::bigint as o from d where i = 1 union all select d.doc_id, d.g, d.n, d.i, w.bin + (w.o + w.n + d.n > 4000)::int, case when w.o + w.n + d.n > 4000 then 0 else w.o + w.n end from w join d on d.g = w.g and d.i = w.i + 1) "
+    "select g, doc_id, bin::bigint as bin, o as offset, (o + n)::bigint as end, (case when o + n = max(o + n) over (partition by g, bin) then 4000 - o - n else 0 end)::bigint as padding from w",
     "perplexity_filter": f"with e as (select doc_id, unnest({TEXT_WORDS}) as w from documents), c as (select w, count(*) as n from e group by w), s as (select doc_id, sum(log10(n / (select count(*) from e))) as s, count(*) as k from e join c on e.w = c.w group by doc_id), p as (select doc_id, round(pow(10.0, -round(s, 6) / (k + 1)), 1) as perplexity from s) select doc_id, perplexity from p where perplexity <= 1500",
 }

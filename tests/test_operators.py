@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import ratios, urls
 from millrace.functions.words import normalise, words
-from millrace.operators import chat, dedup, html, metrics, quality, sampling, vectors
+from millrace.operators import chat, dedup, html, images, metrics, quality, sampling, vectors
 
 
 def one(spark, expr):
@@ -187,3 +187,88 @@ def test_top_k_ties(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (5, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0]), (9, [0.0, 0.0])], "id long, v array<double>")
     got = [(r["rank"], r["id"]) for r in vectors.top_k(rows, F.col("id") == 0, "id", "v", 2).orderBy("rank").collect()]
     assert got == [(1, 3), (2, 5)]
+
+
+def test_first_fit_with_a_second_size_matches_a_plain_search(spark):
+    import random
+
+    rng = random.Random(3)
+    items = [(i % 2, i, rng.choice([0, 1, 3, 7, 10, 11]), rng.randrange(4)) for i in range(300)]
+    rows = spark.createDataFrame(items, "g int, i int, n int, k int")
+    for count, most in ((None, None), ("k", 5), ("k", 2)):
+        want = {}
+        for g in (0, 1):
+            left, held = [], []
+            for _, i, n, k in (x for x in items if x[0] == g):
+                if n > 10 or (most is not None and k > most):
+                    want[i] = None
+                    continue
+                at = next((b for b in range(len(left)) if left[b] >= n and (most is None or held[b] + k <= most)), len(left))
+                if at == len(left):
+                    left.append(10)
+                    held.append(0)
+                left[at] -= n
+                held[at] += k
+                want[i] = at
+        got = {r["i"]: r["bin"] for r in sampling.pack_first_fit(rows, "g", "i", "n", 10, count, most).collect()}
+        assert got == want
+
+
+def test_whole_objects_have_places_and_too_long_ones_raise(spark):
+    rows = spark.createDataFrame([(0, 1, 3), (0, 2, 4), (0, 3, 5)], "g int, i int, n int")
+    got = [tuple(r) for r in sampling.pack_whole(rows, "g", "i", "n", 8).orderBy("i").collect()]
+    assert got == [(0, 1, 0, 0, 3, 0), (0, 2, 0, 3, 7, 1), (0, 3, 1, 0, 5, 3)]
+    with pytest.raises(Exception, match="longer than the room"):
+        sampling.pack_whole(rows, "g", "i", "n", 4).collect()
+
+
+def test_hash_rank_is_the_rank_in_hash_order(spark):
+    import hashlib
+
+    rows = spark.createDataFrame([(i, None if i % 9 == 0 else i % 2) for i in range(500)], "id int, s int")
+    want = {}
+    for s in (None, 0, 1):
+        own = sorted((hashlib.sha256(f"7:{i}".encode()).hexdigest(), i) for i in range(500) if (None if i % 9 == 0 else i % 2) == s)
+        want |= {i: (at, len(own)) for at, (_, i) in enumerate(own, 1)}
+    got = {r["id"]: (r["__rank"], r["__total"]) for r in sampling.hash_rank(rows, "id", ["s"], 7).collect()}
+    assert got == want
+    first = sorted(i for i in range(500) if sum(hashlib.sha256(f"1:{j}".encode()).hexdigest() < hashlib.sha256(f"1:{i}".encode()).hexdigest() for j in range(500)) < 20)
+    assert sorted(r["id"] for r in sampling.sample(rows, "random:20", "id", seed=1).collect()) == first
+
+
+def test_ridge_selection_matches_numpy(spark):
+    import hashlib
+
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((400, 3)) * [1, 5, 0.1] + [0, 3, 1]
+    y = x @ [1.0, -0.5, 4.0] + 0.3 * rng.standard_normal(400) + 7
+    u = np.array([int(hashlib.sha256(f"0:{i}".encode()).hexdigest()[:13], 16) / 2**52 for i in range(400)])
+    part = np.where(u < 0.2, 2, np.where(u < 0.36, 1, 0))
+    mean, spread, middle = x[part == 0].mean(0), x[part == 0].std(0), y[part == 0].mean()
+    z = (x - mean) / spread
+    fit = lambda keep, p: np.linalg.solve(z[keep].T @ z[keep] + p * np.eye(3), z[keep].T @ (y[keep] - middle))
+    r2 = lambda w, keep: 1 - ((y[keep] - z[keep] @ w - middle) ** 2).sum() / ((y[keep] - y[keep].mean()) ** 2).sum()
+    penalties = (1e-3, 1e-1, 10.0, 1000.0)
+    best = max(penalties, key=lambda p: r2(fit(part == 0, p), part == 1))
+    got = metrics.ridge_selected(spark.createDataFrame([(i, *map(float, a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "id int, a double, b double, c double, y double"), "id", ["a", "b", "c"], "y", penalties)
+    assert got["penalty"] == best and got["n_test"] == int((part == 2).sum()) and got["r2"] == pytest.approx(r2(fit(part < 2, best), part == 2))
+
+
+def test_html_pictures_kept_and_rest_cut():
+    page = "<p>a</p><nav><img src='n.jpg'></nav><div><p>b</p><h2 id='ref'>c</h2><p>d<img src='x.jpg'></p></div><p>e</p>"
+    shown = lambda *a: [n["text"] or n["src"] for n in html.nodes_of(page, *a)]
+    assert shown() == ["a\n\nb\n\nc\n\nd", "x.jpg", "e"]
+    assert shown(True) == ["a", "n.jpg", "b\n\nc\n\nd", "x.jpg", "e"]
+    assert shown(False, ["ref"]) == ["a\n\nb\n\ne"]
+
+
+def test_image_hashes_of_known_pictures():
+    import numpy as np
+
+    assert images.wavelet_hash(np.zeros((8, 8))) == 0
+    left = np.tile([1.0] * 4 + [0.0] * 4, (8, 1))
+    assert images.wavelet_hash(left) == int("11" + "0" * 62, 2)  # the mean, and the first step between the halves
+    bits = images.difference_hash(np.tile(np.arange(9), (8, 1)))
+    assert bits == 2**64 - 1
