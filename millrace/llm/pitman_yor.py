@@ -46,8 +46,8 @@ DISCOUNT, STRENGTH = 0.85, 2.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.7, 10.0
 #: Sweeps in all, and the first of them, which aren't averaged.
 SWEEPS, BURN_IN = 3, 1
-#: Steps of the messages that carry the seating of a bucket and of a shard.
-BUCKET_STATE, SHARD_STATE = 1000, 2000
+#: Steps of the messages of a sweep: the buckets' table counts have its number, these come besides: the seating of a bucket, that of a shard, and the parent's answers.
+BUCKET_STATE, SHARD_STATE, ANSWER = 1000, 2000, 3000
 MESSAGE = "target int, origin int, step int, data binary"
 
 
@@ -558,8 +558,11 @@ class Shard:
         return seats, n - PARENT_DISCOUNT * seats.tables, totals, words, wanted
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the text), perplexity (10 to the minus score a token)."""
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweeps: int = SWEEPS, burn_in: int = BURN_IN, parts: int | None = None) -> DataFrame:
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the text), perplexity (10 to the minus score a token).
+
+    ``parts``: blocks, buckets and shards; by default as many as the bytes ask for.
+    """
     import numpy as np
 
     if not 0 <= burn_in < sweeps:
@@ -567,7 +570,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweep
     samples = sweeps - burn_in
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("b"))
-    parts = block_count(docs.sparkSession, rows.agg(F.sum(F.length("b"))).first()[0] or 0)
+    parts = parts or block_count(docs.sparkSession, rows.agg(F.sum(F.length("b"))).first()[0] or 0)
     # Rows that repeat both id and text are parted by where they come from.
     dealt = rows.withColumn("target", F.pmod(F.xxhash64("doc_id", F.length("b"), F.substring("b", 1, 64), F.spark_partition_id()), F.lit(parts)).cast("int")).repartition(parts, "target")
     unseen = np.uint32(0xFFFFFFFF)
@@ -631,7 +634,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweep
             out = [(shard.key, shard.key, SHARD_STATE + step - 1, _pack(seats.customers.astype(np.uint32), *seats.state(), mass.astype(np.float32), totals))]
             for b in range(parts):
                 own = words[b][wanted[b]] if b in words else np.zeros(0, dtype=np.int64)
-                out.append((b, shard.key, step, _pack(mass[own].astype(np.float32), totals)))
+                out.append((b, shard.key, ANSWER + step, _pack(mass[own].astype(np.float32), totals)))
             return _messages(out)
 
         run.__name__ = f"parent_{step}"
@@ -644,7 +647,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweep
             bucket, messages = Bucket(table, key[0].as_py()), _read(told)
             if step > 1:
                 bucket.seats.restore(*messages[BUCKET_STATE + step - 1][0][1])
-            bucket.sweep(step, messages.get(step, []), parts)
+            bucket.sweep(step, messages.get(ANSWER + step, []), parts)
             sums = bucket.sums()
             state = (bucket.key, bucket.key, BUCKET_STATE + step, _pack(*bucket.seats.state()))
             return _messages([state, *[(s, bucket.key, step, _pack(sums[i][bucket.wanted[i]].astype(np.uint32))) for s, i in bucket.by_shard(parts)]])

@@ -394,17 +394,20 @@ def _texts(table):
     return [r[2] for r in rows], [r[1] for r in rows]
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, heavy: int = HEAVY) -> DataFrame:
-    """(doc_id, b: the text's bytes, spans: array<struct<start, end>> of the bytes that repeat), one row for each row of ``docs``."""
-    return _passes(docs, id_col, text_col, length, heavy, cut=False)
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, heavy: int = HEAVY, parts: int | None = None) -> DataFrame:
+    """(doc_id, b: the text's bytes, spans: array<struct<start, end>> of the bytes that repeat), one row for each row of ``docs``.
 
+    ``parts``: buckets, and half the blocks; by default as many as the bytes ask for.
+    """
+    return _passes(docs, id_col, text_col, length, heavy, parts, cut=False)
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, heavy: int = HEAVY) -> DataFrame:
+
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, heavy: int = HEAVY, parts: int | None = None) -> DataFrame:
     """``docs`` without the bytes that repeat; what a cut leaves of a character goes with it, and a null text stays null."""
-    return _passes(docs, id_col, text_col, length, heavy, cut=True)
+    return _passes(docs, id_col, text_col, length, heavy, parts, cut=True)
 
 
-def _passes(docs: DataFrame, id_col: str, text_col: str, length: int, heavy: int, cut: bool) -> DataFrame:
+def _passes(docs: DataFrame, id_col: str, text_col: str, length: int, heavy: int, parts: int | None, cut: bool) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     names = list(docs.columns)
@@ -413,7 +416,7 @@ def _passes(docs: DataFrame, id_col: str, text_col: str, length: int, heavy: int
     rest = F.struct(*[F.col(c) for c in others], F.col(text_col).isNull().alias(fresh(docs, "null"))) if cut else F.lit(None).cast("int")
     rows = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("b"), rest.alias("rest"))
     size = rows.agg(F.count("*").alias("n"), F.sum(F.length("b")).alias("b")).first()
-    parts = block_count(spark, size["b"] or 0)
+    parts = parts or block_count(spark, size["b"] or 0)
     blocks = BLOCKS * parts
     splitters = _splitters(rows, size["n"], length, parts)
     # Rows that repeat both id and text are parted by where they come from.
