@@ -1,9 +1,9 @@
 """Connected components of an edge list by alternating star contraction.
 
-Every step is a grouped minimum followed by an equi-join on the node. Nodes of
-so many edges that they would weigh on one task (``hubs``: 10,000 of them at
-most, whatever the graph) meet their minimum by a broadcast, so their edges
-stay where they are; the other nodes are joined by a shuffle.
+No node's neighbours are ever gathered in one row: every step is a grouped
+minimum, summed before the shuffle, followed by an equi-join on the node and
+one of ``SALTS`` salts of the edge, so a hub's edges go to as many tasks (and
+Spark can split these further).
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import materialize, release
 
-#: A hub has over this many edges, and over MOST_HUBS in two of all: no more than MOST_HUBS nodes can.
-HUB_EDGES, MOST_HUBS = 64, 10_000
+#: Tasks over which a node's edges are dealt.
+SALTS = 8
 
 
 class Forest:
@@ -49,31 +49,23 @@ class Forest:
         return pa.RecordBatch.from_arrays(list(map(pa.array, pairs)), names=["a", "b"])
 
 
-def _least(edges: DataFrame, n_edges: int) -> tuple[DataFrame, DataFrame]:
-    """(n, m: the least b of node n), and the hubs among them."""
-    least = edges.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"), F.count("*").alias("degree"))
-    hubs = least.where(F.col("degree") > max(HUB_EDGES, 2 * n_edges // MOST_HUBS))
-    return least, hubs.select("n", "m")
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """(a, b, m): each edge with the least m of its a (``least``: n, m)."""
+    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    copies = least.select("n", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("copy"))
+    return dealt.join(copies, (F.col("a") == F.col("n")) & (F.col("salt") == F.col("copy"))).select("a", "b", "m")
 
 
-def _with_least(edges: DataFrame, least: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Each edge with its a's least: a hub's edges aren't shuffled."""
-    few = edges.join(F.broadcast(hubs), F.col("a") == F.col("n"))
-    rest = edges.join(F.broadcast(hubs.select("n")), F.col("a") == F.col("n"), "left_anti")
-    return few.select("a", "b", "m").unionByName(rest.join(least, F.col("a") == F.col("n")).select("a", "b", "m"))
-
-
-def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least, hubs = _least(both, 2 * n_edges)
-    own = lambda x: x.select("n", F.least("n", "m").alias("m"))
-    return _with_least(both.where("b > a"), own(least), own(hubs)).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+    return _with_least(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame, n_edges: int) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least, hubs = _least(down, n_edges)
-    moved = _with_least(down, least.select("n", "m"), hubs).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
+    moved = _with_least(down, least).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
 
 
@@ -84,14 +76,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Raises if ``max_rounds`` rounds don't suffice (they double the reach each).
     """
     edges = materialize(edges.where("a is not null and b is not null and a <> b").select("a", "b"), "edges")
-    n = edges.count()
     for _ in range(max_rounds):
-        new = materialize(_small_star(_large_star(edges, n), 2 * n), "stars")
+        new = materialize(_small_star(_large_star(edges)), "stars")
         release(edges)
         # Edges (child, parent) are final once no parent is a child and no child hangs on two parents.
         ends = new.select(F.col("a").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(new.select(F.col("b").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
         odd = ends.groupBy("x").agg(F.sum("child").alias("child"), F.max("parent").alias("parent")).where("child > 1 or (child = 1 and parent = 1)")
         if odd.limit(1).count() == 0:
             return new.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        edges, n = new, new.count()
+        edges = new
     raise RuntimeError("connected components did not converge")
