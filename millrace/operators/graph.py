@@ -3,7 +3,9 @@
 No node's neighbours are ever gathered in one row: every step is a grouped
 minimum, summed before the shuffle, followed by an equi-join on the node and
 one of ``SALTS`` salts of the edge, so a hub's edges go to as many tasks (and
-Spark can split these further).
+Spark can split these further). Before the first step tasks of ``TASK_EDGES``
+edges each contract their own by union-find, whatever the graph; where those
+are all, the stars are done at once.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from ..sources.shared import materialize, release
 
 #: Tasks over which a node's edges are dealt.
 SALTS = 8
+#: Edges that a task contracts by itself.
+TASK_EDGES = 200_000
 
 
 class Forest:
@@ -69,20 +73,39 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
 
 
+def _contracted(edges: DataFrame, n: int) -> DataFrame:
+    """Edges of the same components, no more than each task has nodes."""
+
+    def run(batches):
+        forest = Forest()
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                forest.link(a, b)
+        yield forest.batch()
+
+    return edges.repartition(max(1, -(-n // TASK_EDGES))).mapInArrow(run, "a long, b long")
+
+
+def _is_done(edges: DataFrame) -> bool:
+    """Edges (child, parent) are final once no parent is a child and no child hangs on two parents."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+    odd = ends.groupBy("x").agg(F.sum("child").alias("child"), F.max("parent").alias("parent")).where("child > 1 or (child = 1 and parent = 1)")
+    return odd.limit(1).count() == 0
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long) that isn't the smallest of its component.
 
     Null ends and self-loops are ignored; an empty list gives an empty result.
     Raises if ``max_rounds`` rounds don't suffice (they double the reach each).
     """
-    edges = materialize(edges.where("a is not null and b is not null and a <> b").select("a", "b"), "edges")
+    raw = materialize(edges.where("a is not null and b is not null and a <> b").select("a", "b"), "edges")
+    now = materialize(_contracted(raw, raw.count()), "stars")
+    release(raw)
     for _ in range(max_rounds):
-        new = materialize(_small_star(_large_star(edges)), "stars")
-        release(edges)
-        # Edges (child, parent) are final once no parent is a child and no child hangs on two parents.
-        ends = new.select(F.col("a").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(new.select(F.col("b").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
-        odd = ends.groupBy("x").agg(F.sum("child").alias("child"), F.max("parent").alias("parent")).where("child > 1 or (child = 1 and parent = 1)")
-        if odd.limit(1).count() == 0:
-            return new.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        edges = new
+        if _is_done(now):
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        new = materialize(_small_star(_large_star(now)), "stars")
+        release(now)
+        now = new
     raise RuntimeError("connected components did not converge")
