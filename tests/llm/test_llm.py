@@ -269,13 +269,17 @@ def test_tile_links_span_what_is_near():
     assert 40 <= len(found) <= 2 * len(a) and all((x ^ y).bit_count() <= 3 for x, y in found)
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("task", [200_000, 10])
+def test_components_of_a_long_path(spark, monkeypatch, task):
+    monkeypatch.setattr("millrace.operators.graph.TASK_EDGES", task)
     edges = spark.createDataFrame([(i, i + 1) for i in range(100, 180)] + [(5, 5), (None, 3), (7, 900)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.components(edges.repartition(7)).collect()}
     assert got == {**{i: 100 for i in range(101, 181)}, 900: 7}
 
 
-def test_components_of_hubs(spark):
+@pytest.mark.parametrize("task", [200_000, 50])
+def test_components_of_hubs(spark, monkeypatch, task):
+    monkeypatch.setattr("millrace.operators.graph.TASK_EDGES", task)
     edges = [(0, i) for i in range(1, 400)] + [(1000, i) for i in range(300, 700)] + [(5000 + i, 9000) for i in range(100)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
     assert got == {**{i: 0 for i in [*range(1, 700), 1000]}, **{i: 5000 for i in [*range(5001, 5100), 9000]}}
