@@ -187,6 +187,10 @@ def _block_links(key, table, least: float):
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
+#: Sets in groups up to which their numbers are broadcast (32 bytes each), so that of all sets only those are shuffled.
+BROADCAST_SETS = 1_000_000
+
+
 def jaccard_components(each: DataFrame, every: DataFrame, least: float) -> DataFrame:
     """(sid, root) of the sets that are alike through a chain of pairs, each of one group (``each``: sid, g) and verified exactly (``every``: sid, s).
 
@@ -196,7 +200,9 @@ def jaccard_components(each: DataFrame, every: DataFrame, least: float) -> DataF
     """
     groups = each.groupBy("g").agg(F.min("sid").alias("rep"), F.max("sid").alias("top")).where("rep < top").select("g", "rep")
     member = materialize(each.join(groups, "g").distinct(), "bands")
-    sets = materialize(every.join(member.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]), "sets")
+    listed = member.select("sid").distinct()
+    few = listed.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS
+    sets = materialize(every.join(F.broadcast(listed) if few else listed, "sid", "left_semi").dropDuplicates(["sid"]), "sets")
     pairs = member.where("sid <> rep").select("sid", "rep").distinct()
     both = pairs.join(sets, "sid").join(sets.select(F.col("sid").alias("rep"), F.col("s").alias("t")), "rep")
     shared = F.size(F.array_intersect("s", "t"))
