@@ -67,14 +67,44 @@ def visible_text(html: Column) -> Column:
 def nearest_names(asked: DataFrame, held: DataFrame, key: str, name: str, held_key: str, held_name: str) -> DataFrame:
     """(key, match, found): for each name that of the index sharing most trigrams (ties: fewer letters, then the lesser key), accepted only if both are equal.
 
-    Names meet by an equi-join on trigrams, counts of which are summed before anything is ranked.
+    Equal names are looked up once. A name's trigrams that the index has are
+    ordered by how many names have them. A name that shares all but ``p - 1``
+    of them has both of one of ``p`` disjoint pairs, so names meet on the
+    rarest pair, then what is open on up to four; the rest meets on single
+    trigrams, as many of the rarest as a better match must have one of.
     """
     from ..functions.texts import trigrams
-
-    a = asked.select(F.col(key).alias("k"), F.explode(trigrams(F.col(name))).alias("g"))
-    b = held.select(F.col(held_key).alias("m"), F.length(held_name).alias("len"), F.explode(trigrams(F.col(held_name))).alias("g"))
-    shared = a.join(b, "g").groupBy("k", "m", "len").agg(F.count("*").alias("n"))
-    best = shared.groupBy("k").agg(F.max(F.struct("n", (-F.col("len")).alias("l"), (-F.col("m")).alias("o"))).alias("b")).select(F.col("k").alias("__k"), (-F.col("b.o")).alias("match"))
-    found = asked.join(best, F.col(key) == F.col("__k"), "left").drop("__k")
+    from ..sources.shared import materialize
+
+    a = asked.select(F.col(name).alias("a")).where("a is not null").distinct().select("a", F.explode(trigrams(F.col("a"))).alias("g"))
+    b = held.where(F.col(held_name).isNotNull()).groupBy(F.col(held_name).alias("b")).agg(F.min(held_key).alias("m"))
+    b = materialize(b.select("m", F.length("b").alias("len"), F.array_sort(trigrams(F.col("b"))).alias("own")), "names")
+    counts = b.select(F.explode("own").alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    known = a.join(counts, "g").groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "g"))), lambda x: x["g"]).alias("known"))
+    rest = materialize(known.withColumn("bound", F.lit(0)), "asked")
+
+    both = lambda x, y: F.xxhash64(F.least(x, y), F.greatest(x, y))
+    pairs_of = b.select("m", F.explode(F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, F.size("own")), lambda y: both(x, y))))).alias("k"))
+
+    def best_of(met: DataFrame) -> DataFrame:
+        """The best of the names met, counted in full."""
+        n = F.size(F.array_intersect("known", "own"))
+        full = met.distinct().join(rest.select("a", "known"), "a").join(b, "m")
+        return full.groupBy("a").agg(F.max(F.struct(n.alias("n"), (-F.col("len")).alias("l"), (-F.col("m")).alias("o"))).alias("b"))
+
+    done = None
+    for most in (1, 4):
+        p = F.least(F.lit(most), F.floor(F.size("known") / 2).cast("int"))
+        at = F.when(p > 0, F.sequence(F.lit(0), p - 1)).otherwise(F.array().cast("array<int>"))
+        keys = rest.select("a", F.explode(F.transform(at, lambda i: both(F.get("known", 2 * i), F.get("known", 2 * i + 1)))).alias("k"))
+        found = materialize(rest.join(best_of(keys.join(pairs_of, "k").select("a", "m")), "a", "left"), "found")
+        sure = F.coalesce(F.col("b.n") > F.size("known") - p, F.lit(False))
+        settled = found.where(sure).select("a", "b")
+        done = settled if done is None else done.unionByName(settled)
+        rest = found.where(~sure).select("a", "known", F.greatest("bound", F.coalesce("b.n", F.lit(0))).alias("bound"))
+    few = F.slice("known", 1, F.size("known") - F.greatest("bound", F.lit(1)) + 1)
+    single = rest.select("a", F.explode(few).alias("g")).join(b.select("m", F.explode("own").alias("g")), "g").select("a", "m")
+    best = done.unionByName(best_of(single)).select(F.col("a").alias("__k"), (-F.col("b.o")).alias("match"))
+    found = asked.join(best, F.col(name) == F.col("__k"), "left").drop("__k")
     names = held.select(F.col(held_key).alias("__m"), F.col(held_name).alias("__name"))
     return found.join(names, F.col("match") == F.col("__m"), "left").select(key, "match", F.coalesce(F.col(name) == F.col("__name"), F.lit(False)).alias("found"))
