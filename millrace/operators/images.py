@@ -69,5 +69,7 @@ def hash_column(f):
 def difference_bits(grey: Column, width: int = 9, height: int = 8) -> Column:
     """``difference_hash`` as a text of bits, by array expressions."""
     at = F.sequence(F.lit(0), F.lit((width - 1) * height - 1))
-    brighter = lambda i: F.get(grey, (F.floor(i / (width - 1)) * width + i % (width - 1) + 1).cast("int")) > F.get(grey, (F.floor(i / (width - 1)) * width + i % (width - 1)).cast("int"))
-    return F.array_join(F.transform(at, lambda i: F.when(brighter(i), "1").otherwise("0")), "")
+    left = lambda i: (F.floor(i / (width - 1)) * width + i % (width - 1)).cast("int")
+    bits = lambda g: F.transform(at, lambda i: F.when(F.get(g, left(i) + 1) > F.get(g, left(i)), "1").otherwise("0"))
+    # Bound once: a lambda would work out all pixels again for each that it compares.
+    return F.array_join(F.transform(F.array(grey), bits)[0], "")
