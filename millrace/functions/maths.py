@@ -61,10 +61,11 @@ def patches(values: Column, size: int) -> Column:
 
 def standardised(values: Column) -> Column:
     """Less the mean, over the standard deviation (of a constant: zeros)."""
+    bound = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  (a lambda would work its outer values out again for each element)
     n = F.size(values)
     mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n
-    var = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
-    return F.transform(values, lambda x: F.when(var > 0, (x - mean) / F.sqrt(var)).otherwise(0.0))
+    var = lambda m: F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / n
+    return bound(mean, lambda m: bound(var(m), lambda v: F.transform(values, lambda x: F.when(v > 0, (x - m) / F.sqrt(v)).otherwise(0.0))))
 
 
 def spiral(side: int) -> list[int]:
@@ -87,7 +88,7 @@ def spiral(side: int) -> list[int]:
 
 
 def reordered(values: Column, order: list[int]) -> Column:
-    return F.transform(F.array(*map(F.lit, order)), lambda i: F.get(values, i))
+    return F.transform(F.array(values), lambda v: F.transform(F.array(*map(F.lit, order)), lambda i: F.get(v, i)))[0]
 
 
 def minutes_seconds(frame: Column, rate: float) -> Column:
