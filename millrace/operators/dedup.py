@@ -269,6 +269,24 @@ def contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", item:
     return gram_hashes(docs, key, text, n).join(F.broadcast(right) if few else right, "gram").select(key, item, "gram").distinct().groupBy(key, item).agg(F.count("*").alias("n_grams"))
 
 
+def gram_lookup(docs: DataFrame, key: str, text: str, wanted: DataFrame, gram: str = "gram", longest: int = 4) -> DataFrame:
+    """(gram, key): the documents that hold each of the wanted n-grams of 1 to ``longest`` words, equal in 128 bits of hash.
+
+    The n-grams of documents meet the wanted ones as hashes in the row's own task; what meets is made distinct.
+    """
+    asked = wanted.select(F.col(gram).alias("gram"), F.split(gram, " ").alias("t")).where(F.size("t") <= longest)
+    asked = asked.select("gram", F.size("t").alias("n"), F.struct(F.xxhash64("t").alias("h"), F.xxhash64(F.lit(1), "t").alias("g")).alias("x"))
+    few = asked.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
+    lengths = [r["n"] for r in asked.select("n").distinct().collect()]
+    out = None
+    for n in sorted(lengths):
+        one = gram_hashes(docs, key, text, n).withColumnRenamed("gram", "x")
+        held = asked.where(F.col("n") == n).select("x", "gram")
+        one = one.join(F.broadcast(held) if few else held, "x").select("gram", key)
+        out = one if out is None else out.unionByName(one)
+    return (docs.select(F.lit("").alias("gram"), key).limit(0) if out is None else out).distinct()
+
+
 def gram_index(docs: DataFrame, key: str, text: str, longest: int = 4) -> DataFrame:
     """(key, gram): the distinct n-grams of 1 to ``longest`` words of each document."""
     out = None
@@ -281,15 +299,18 @@ def gram_index(docs: DataFrame, key: str, text: str, longest: int = 4) -> DataFr
 def hamming_pairs(codes: DataFrame, key: str, code: str, most: int = 7) -> DataFrame:
     """Pairs (a < b) of ids whose 64-bit codes differ in at most ``most`` bits.
 
-    Codes that near agree in full on one of ``most + 1`` bands of bits, so the
-    join is by equality on a band; equal codes are grouped first and expanded last.
+    Of four bands of 16 bits, codes that near differ in a quarter of ``most``
+    at most in one, so the join is by equality on a band, in which one side
+    turns every choice of so many bits; equal codes are grouped first and
+    expanded last.
     """
-    bands = most + 1
-    cuts = [64 * i // bands for i in range(bands + 1)]
+    from itertools import combinations
+
+    turns = [sum(1 << b for b in bits) for n in range(most // 4 + 1) for bits in combinations(range(16), n)]
     distinct = codes.select(F.col(code).alias("c")).distinct()
-    part = lambda i: F.shiftrightunsigned("c", cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1))
-    each = distinct.select("c", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), part(i).alias("v")) for i in range(bands)])).alias("x")).select("c", "x.i", "x.v")
-    near = each.join(each.select(F.col("c").alias("d"), "i", "v"), ["i", "v"]).where("c < d").select("c", "d").distinct().where(F.bit_count(F.col("c").bitwiseXOR(F.col("d"))) <= most)
+    banded = distinct.select("c", F.posexplode(F.array(*[F.shiftrightunsigned("c", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)])).alias("i", "v"))
+    turned = banded.select(F.col("c").alias("d"), "i", F.explode(F.transform(F.array(*[F.lit(x).cast("long") for x in turns]), lambda x: F.col("v").bitwiseXOR(x))).alias("v"))
+    near = banded.join(turned, ["i", "v"]).where((F.col("c") < F.col("d")) & (F.bit_count(F.col("c").bitwiseXOR(F.col("d"))) <= most)).select("c", "d").distinct()
     same = distinct.select("c", F.col("c").alias("d"))
     ids = codes.select(F.col(key).alias("id"), F.col(code).alias("c"))
     every = near.unionByName(same)
