@@ -33,6 +33,10 @@ def too_frequent(elements: DataFrame, key: str, most: int = 10) -> DataFrame:
     return elements.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most)
 
 
+#: Words or other elements that are broadcast at most.
+BROADCAST_WORDS = 300_000
+
+
 def drop_frequent_elements(docs: DataFrame, key: str, array: str, most: int = 10) -> DataFrame:
     """Removes array elements that occur more than ``most`` times in the corpus; order stays."""
     each = docs.select(key, F.posexplode(array).alias("pos", "x"))
