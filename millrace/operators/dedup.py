@@ -37,10 +37,32 @@ def too_frequent(elements: DataFrame, key: str, most: int = 10) -> DataFrame:
 BROADCAST_WORDS = 300_000
 
 
+def most_frequent(counts: DataFrame, n: str = "n") -> tuple[DataFrame, DataFrame | None]:
+    """Counted elements in two: the most frequent, ``BROADCAST_WORDS`` at most and down to a power of two of occurrences, and the others, None if there are none.
+
+    What meets the first by a broadcast is most of a corpus, and no other element has enough occurrences to load one task.
+    """
+    bits = F.length(F.bin(n))
+    classes = {r["bits"]: r["many"] for r in counts.groupBy(bits.alias("bits")).agg(F.count("*").alias("many")).collect()}
+    held, least = 0, 63
+    for b in sorted(classes, reverse=True):
+        held += classes[b]
+        if held > BROADCAST_WORDS:
+            return counts.where(F.col(n) >= 1 << least - 1), counts.where(F.col(n) < 1 << least - 1)
+        least = b
+    return counts, None
+
+
 def drop_frequent_elements(docs: DataFrame, key: str, array: str, most: int = 10) -> DataFrame:
-    """Removes array elements that occur more than ``most`` times in the corpus; order stays."""
+    """Removes array elements that occur more than ``most`` times in the corpus; order stays.
+
+    The most frequent are dropped by a broadcast in the task that reads them; only what is left is shuffled.
+    """
     each = docs.select(key, F.posexplode(array).alias("pos", "x"))
-    kept = each.join(too_frequent(each, "x", most).select("x"), "x", "left_anti")
+    first, others = most_frequent(materialize(too_frequent(docs.select(F.explode(array).alias("x")), "x", most), "frequent"))
+    kept = each.join(F.broadcast(first.select("x")), "x", "left_anti")
+    if others is not None:
+        kept = kept.join(others.select("x"), "x", "left_anti")
     back = kept.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias(array))
     return docs.drop(array).join(back, key, "left").withColumn(array, F.coalesce(array, F.array().cast(dict(docs.dtypes)[array])))
 
