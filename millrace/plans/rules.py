@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import maths, texts
 from ..functions.words import words
-from ..operators import chat, images, metrics, mixture, sampling, shapes, vectors
+from ..operators import chat, dedup, images, metrics, mixture, sampling, shapes, vectors
+from ..sources.shared import materialize
 from ..sources.tables import table
 
 #: Small tables that the test data lacks: columns with their types, and rows.
@@ -300,10 +301,16 @@ def image_hashes(spark, sf_dir):
 
 def perplexity_filter(spark, sf_dir):
     """Documents whose perplexity under the corpus's own word frequencies is 1500 at most."""
-    each = table(spark, sf_dir, "documents").select("doc_id", F.explode(words(F.col("text"))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("k"))
-    counts = each.groupBy("w").agg(F.sum("k").alias("n"))
+    each = table(spark, sf_dir, "documents").select("doc_id", F.explode(words(F.col("text"))).alias("w"))
+    counts = materialize(each.groupBy("w").agg(F.count("*").alias("n")), "words")
     total = counts.agg(F.sum("n")).first()[0] or 1
-    scored = each.join(counts, "w").groupBy("doc_id").agg(F.sum(F.col("k") * F.log10(F.col("n") / F.lit(total))).alias("s"), F.sum("k").alias("n_words"))
+    first, others = dedup.most_frequent(counts)
+    # The most frequent words are summed up in the document's own task; only others are shuffled, as words, to meet their numbers.
+    log = F.log10(F.col("n") / F.lit(total))
+    met = each.join(F.broadcast(first), "w", "left").groupBy("doc_id", F.when(F.col("n").isNull(), F.col("w")).alias("w")).agg(F.sum(log).alias("s"), F.count("*").alias("k"))
+    if others is not None:
+        met = met.withColumn("w", F.coalesce("w", F.concat(F.lit(" "), "doc_id"))).join(others, "w", "left").withColumn("s", F.coalesce("s", F.col("k") * log))
+    scored = met.groupBy("doc_id").agg(F.sum("s").alias("s"), F.sum("k").alias("n_words"))
     found = scored.select("doc_id", maths.perplexity(F.array(F.round("s", 6)), F.array(F.col("n_words").cast("double"))).alias("perplexity"))
     return found.where("perplexity <= 1500")
 
